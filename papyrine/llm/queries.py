@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import neighbours
+from papyrine.llm import neardup, neighbours
 from papyrine.llm.sql import ORACLES
 from papyrine.tables import table
 
@@ -23,6 +23,27 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("cosine", 4).alias("cosine"))
 
 
+def _near_texts(spark: SparkSession, folder: str):
+    return neardup.near_duplicates([
+        (table(spark, folder, "chunks"), "row_id", "content"), (table(spark, folder, "canonical_docs"), "canon_id", "abstract"),
+    ])
+
+
+def _kind():
+    return F.when(F.col("kind") == 0, "chunk").otherwise("abstract").alias("kind")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.all_pairs(*_near_texts(spark, folder))
+    return found.select(_kind(), F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per linked text: its group of near-duplicates (smallest key) and its number of links to other texts."""
+    pairs, members = _near_texts(spark, folder)
+    return neardup.classes(pairs, members).select(_kind(), F.col("id").alias("key"), "class_id", "links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
