@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import neardup, neighbours
+from papyrine.llm import leakage, neardup, neighbours
 from papyrine.llm.sql import ORACLES
 from papyrine.tables import table
 
@@ -44,6 +44,17 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(pairs, members).select(_kind(), F.col("id").alias("key"), "class_id", "links")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return found.select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Report per leaked test item: texts that hold it and the largest part found."""
+    found = leakage.find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return found.groupBy("item_id").agg(F.count("*").alias("texts"), F.round(F.max("covered"), 3).alias("largest_part"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
