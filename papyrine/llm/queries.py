@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import leakage, neardup, neighbours
+from papyrine.llm import leakage, neardup, neighbours, sentences
 from papyrine.llm.sql import ORACLES
 from papyrine.tables import table
 
@@ -23,6 +23,13 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("cosine", 4).alias("cosine"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    ends = sentences.sentence_ends([
+        ("section", table(spark, folder, "sections"), "section_id", "content"), ("abstract", table(spark, folder, "canonical_docs"), "canon_id", "abstract"),
+    ])
+    return ends.select(F.col("kind").alias("unit_kind"), F.col("id").alias("unit_id"), "end_pos")
+
+
 def _near_texts(spark: SparkSession, folder: str):
     return neardup.near_duplicates([
         (table(spark, folder, "chunks"), "row_id", "content"), (table(spark, folder, "canonical_docs"), "canon_id", "abstract"),
