@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import leakage, neardup, neighbours, sentences
+from papyrine.llm import abuse, leakage, mixing, neardup, neighbours, sentences
 from papyrine.llm.sql import ORACLES
+from papyrine.llm.mixing import source_name
 from papyrine.tables import table
 
 
@@ -62,6 +63,42 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("texts"), F.round(F.max("covered"), 3).alias("largest_part"))
 
 
+def _mix(spark: SparkSession, folder: str):
+    return mixing.prepare(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    counts, planned = _mix(spark, folder)
+    return mixing.mixture(counts, planned).withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    counts, planned = _mix(spark, folder)
+    return mixing.shares(planned, mixing.mixture(counts, planned))
+
+
+def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scores(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "review_labels"), "doc_id", "flagged")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse_scores(spark, folder).where("flagged").select(F.col("id").alias("doc_id"))
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse_scores(spark, folder).select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "flagged")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Flagged texts and their part per source, under one spelling per source."""
+    docs = table(spark, folder, "documents").select("doc_id", source_name("source").alias("source"))
+    scored = _abuse_scores(spark, folder).select(F.col("id").alias("doc_id"), F.col("flagged").cast("int").alias("f"))
+    return (
+        docs.join(scored, "doc_id").groupBy("source")
+        .agg(F.count("*").alias("texts"), F.sum("f").alias("flagged"), F.round(F.avg("f"), 6).alias("rate"))
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
