@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import abuse, leakage, mixing, neardup, neighbours, sentences
+from papyrine.llm import abuse, leakage, mixing, names, neardup, neighbours, sentences
 from papyrine.llm.sql import ORACLES
 from papyrine.llm.mixing import source_name
 from papyrine.tables import table
@@ -24,6 +24,16 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("cosine", 4).alias("cosine"))
 
 
+def _spellings(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "papers")
+    authors = papers.select(F.lit("author").alias("kind"), F.explode("authors").alias("name"))
+    return authors.unionByName(papers.select(F.lit("journal").alias("kind"), F.col("journal").alias("name")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(_spellings(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     ends = sentences.sentence_ends([
         ("section", table(spark, folder, "sections"), "section_id", "content"), ("abstract", table(spark, folder, "canonical_docs"), "canon_id", "abstract"),
