@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.plans import nested_queries
+from papyrine.plans import index_queries, nested_queries, text_queries
 
-MODULES = (nested_queries,)
+MODULES = (text_queries, index_queries, nested_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
