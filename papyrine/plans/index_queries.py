@@ -128,11 +128,11 @@ def payload_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks sent before 2025 are the collection, later ones the new batch, each as its last row per id."""
-    c = table(spark, d, "chunks").where("chunk_id <> ''").select("chunk_id", "row_id", "created_at")
-    early = F.col("created_at") < F.lit("2025-01-01").cast("timestamp")
-    pick = lambda df: index.latest(df, "chunk_id", "created_at", "row_id").select("chunk_id", "row_id")
-    return pick(c.where(early)), pick(c.where(~early))
+    """What is embedded is the collection, the chunks are the new batch; of each the last row per chunk id."""
+    old = table(spark, d, "embedded_chunks").where("chunk_id <> ''").select("chunk_id", F.col("vec_id").alias("ref"), F.col("generated_at").alias("at"), F.lit("vector").alias("origin"))
+    new = table(spark, d, "chunks").where("chunk_id <> ''").select("chunk_id", F.col("row_id").alias("ref"), F.col("created_at").alias("at"), F.lit("chunk").alias("origin"))
+    old, new = (index.latest(x, "chunk_id", "at", "ref").select("chunk_id", "ref", "origin") for x in (old, new))
+    return old, new
 
 
 def index_new_only(spark: SparkSession, d: str) -> DataFrame:
@@ -189,9 +189,9 @@ _POINTS = f"""select {_point('v.chunk_id')} id, v.chunk_id, coalesce(v.metadata.
  coalesce(v.metadata_header, '') metadata_header, coalesce(c.content, '') content, v.embedding from embedded_chunks v left join (select chunk_id, max_by(content, row_id) content from chunks where content is not null group by 1) c using (chunk_id)
  where coalesce(v.chunk_id, '') <> '' and coalesce(len(v.embedding), 0) > 0"""
 _MISSING = "concat_ws(',', " + ", ".join(f"case when {f} is null or {f}::VARCHAR = '' then '{f}' end" for f in validate.REQUIRED_WITH_CONTENT) + ")"
-_LAST = "select chunk_id, row_id from (select chunk_id, row_id, row_number() over (partition by chunk_id order by created_at desc nulls last, row_id desc) n from chunks where {}) where n = 1"
-_OLD = _LAST.format("chunk_id <> '' and created_at < timestamp '2025-01-01'")
-_NEW = _LAST.format("chunk_id <> '' and not created_at < timestamp '2025-01-01'")
+_LAST = "select chunk_id, {0} from (select chunk_id, {0}, row_number() over (partition by chunk_id order by {1} desc nulls last, {0} desc) n from {2} where chunk_id is not null) where n = 1"
+_OLD = "select chunk_id, vec_id ref, 'vector' origin from (" + _LAST.format("vec_id", "generated_at", "embedded_chunks") + ") where chunk_id <> ''"
+_NEW = "select chunk_id, row_id ref, 'chunk' origin from (" + _LAST.format("row_id", "created_at", "chunks") + ") where chunk_id <> ''"
 
 ORACLES = {
     "embed_norms": "select vec_id, round(n, 5) norm from (select vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) n from embedded_chunks where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null)) = 0) where not isnan(n) and n < 1e30",
@@ -219,7 +219,7 @@ ORACLES = {
     "index_existing": f"select * from ({_NEW}) where chunk_id in (select chunk_id from ({_OLD}))",
     "index_upsert": f"select * from ({_OLD}) union all select * from ({_NEW}) where chunk_id not in (select chunk_id from ({_OLD}))",
     "index_upsert_force": f"select * from ({_NEW}) union all select * from ({_OLD}) where chunk_id not in (select chunk_id from ({_NEW}))",
-    "index_dedup": _LAST.format("true"),
+    "index_dedup": _LAST.format("row_id", "created_at", "chunks"),
     "index_validate": f"select count(*) total_points, count(*) filter (len(embedding) <> 128) dimension_errors, count(*) filter ({_MISSING} <> '') payload_errors, count(*) filter (len(embedding) <> 128) = 0 and count(*) filter ({_MISSING} <> '') = 0 is_valid from ({_POINTS})",
     "resume_pending": "select distinct pmcid from chunks where pmcid not in (select metadata.pmcid from embedded_chunks where metadata.pmcid is not null)",
 }

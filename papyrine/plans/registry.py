@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.plans import index_queries, nested_queries, text_queries
+from papyrine.plans import article_queries, index_queries, nested_queries, relational_queries, text_queries
 
-MODULES = (text_queries, index_queries, nested_queries)
+MODULES = (text_queries, index_queries, article_queries, nested_queries, relational_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,3 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search: dense and sparse rankings of the same queries, fused."""
+    return index_queries.hybrid_rrf(spark, folder)
