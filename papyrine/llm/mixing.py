@@ -78,10 +78,10 @@ def plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     sizes = counts.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
     w = Window.partitionBy("mix_id")
     p = t.join(sizes, "source", "left").withColumn("usable", F.when(F.col("tokens").isNotNull(), F.col("w")))
-    p = p.withColumn("target", F.coalesce(F.col("usable") / F.sum("usable").over(w), F.lit(0.0)))
-    most = F.min(F.when(F.col("target") > 0, F.col("repeats") * F.col("tokens") / F.col("target"))).over(w)
+    p = p.withColumn("target", F.coalesce(F.try_divide("usable", F.sum("usable").over(w)), F.lit(0.0)))
+    most = F.min(F.try_divide(F.col("repeats") * F.col("tokens"), F.nullif("target", F.lit(0.0)))).over(w)
     p = p.withColumn("total", most if total_tokens is None else F.lit(float(total_tokens)))
-    each = F.least(F.col("total") * F.col("target") / F.col("tokens"), F.col("repeats").cast("double"))
+    each = F.least(F.try_divide(F.col("total") * F.col("target"), "tokens"), F.col("repeats").cast("double"))
     return p.select("mix_id", "source", "w", "target", "repeats", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(each, F.lit(0.0)).alias("copies_each"), "total")
 
 
@@ -112,7 +112,7 @@ def shares(planned: DataFrame, mixed: DataFrame) -> DataFrame:
     reached = F.coalesce("reached_tokens", F.lit(0))
     return out.select(
         "mix_id", "source", F.round("target", 6).alias("target_share"), reached.alias("reached_tokens"),
-        F.round(reached / F.sum(reached).over(Window.partitionBy("mix_id")), 6).alias("reached_share"),
+        F.round(F.coalesce(F.try_divide(reached, F.sum(reached).over(Window.partitionBy("mix_id"))), F.lit(0.0)), 6).alias("reached_share"),
         F.coalesce("used_docs", F.lit(0)).alias("used_docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "repeats",
     )
 

@@ -1,3 +1,10 @@
 """SQL equivalents where SQL can express the operator on whole tables."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"""with t as (select 'chunk' kind, row_id k, {_WORDS.format('content')} w from chunks union all select 'abstract', canon_id, {_WORDS.format('abstract')} from canonical_docs),
+ c as (select kind, k, n, word, count(*) c from (select kind, k, len(w) n, unnest(w) word from t where len(w) >= 40) group by all),
+ s as (select a.kind, a.k key_a, b.k key_b, a.n na, b.n nb, sum(least(a.c, b.c)) m from c a join c b on a.kind = b.kind and a.word = b.word and a.k < b.k and least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) group by all)
+ select kind, key_a, key_b from s where m >= 0.7 * (na + nb - m)""",
+}
