@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from papyrine.scratch import materialize
+from papyrine.scratch import materialize, tidy
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["s"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their number and checksum observed while they are written."""
+    seen = Observation()
+    table = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), "edges")
+    return table, (seen.get["n"], seen.get["s"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
@@ -22,8 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = materialize(edges.where("u <> v").distinct(), "edges")
-    before = _state(edges)
+    edges, before = _written(edges.where("u <> v").distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
@@ -32,11 +33,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "edges")
-        after = _state(edges)
+        edges, after = _written(small.where("u <> v").distinct())
         if after == before:
             break
         before = after
+        tidy(edges.sparkSession)
     return nodes.join(edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )

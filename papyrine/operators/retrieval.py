@@ -22,12 +22,13 @@ def top(df: DataFrame, by: str, key: str, k: int, query: str = "query") -> DataF
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_topk(corpus: DataFrame, key: str, vec: str, queries: DataFrame, query_key: str, query_vec: str, dim: int, k: int = 20, digits: int = 6, block_queries: int = 4096) -> DataFrame:
+def dense_topk(corpus: DataFrame, key: str, vec: str, queries: DataFrame, query_key: str, query_vec: str, dim: int, k: int = 20, digits: int = 6, block_queries: int = 4096, exclude_self: bool = True) -> DataFrame:
     """``(query, key, score, rank)``: exact cosine search of a stated query set against all vectors.
 
     Queries are taken in blocks of at most ``block_queries`` (that many vectors are sent to the executors); each task
     scores its batches by one matrix product and passes on k rows per query and batch. Vectors of another dimension,
-    with null, NaN or infinite entries, or of length zero are neither searched nor found; a query does not find itself.
+    with null, NaN or infinite entries, or of length zero are neither searched nor found. ``exclude_self`` is for query
+    ids that are ids of the corpus: a query then does not find itself.
     """
     spark = corpus.sparkSession
     asked = queries.select(F.col(query_key).cast("bigint").alias("q"), F.col(query_vec).alias("v")).where("q is not null")
@@ -42,12 +43,12 @@ def dense_topk(corpus: DataFrame, key: str, vec: str, queries: DataFrame, query_
         ids = t.column("q").to_numpy()[at]
         size = np.linalg.norm(x, axis=1)
         sent = spark.sparkContext.broadcast((ids[size > 0], x[size > 0] / size[size > 0, None]))  # at most about block_queries vectors
-        found = rows.mapInArrow(_score(sent, dim, k, digits), "query bigint, key bigint, score double")
+        found = rows.mapInArrow(_score(sent, dim, k, digits, exclude_self), "query bigint, key bigint, score double")
         out = found if out is None else out.unionByName(found)
     return top(out, "score", "key", k)
 
 
-def _score(sent, dim: int, k: int, digits: int):
+def _score(sent, dim: int, k: int, digits: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
         for b in batches_of(batches, 2048):
@@ -58,7 +59,8 @@ def _score(sent, dim: int, k: int, digits: int):
                 continue
             keys = b.column(0).to_numpy(zero_copy_only=False)[at]
             s = np.round(q @ (x / size[:, None]).T, digits)
-            s[ids[:, None] == keys[None, :]] = -9
+            if exclude_self:
+                s[ids[:, None] == keys[None, :]] = -9
             order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
             rows = np.repeat(np.arange(len(ids)), order.shape[1])
             cols = order.ravel()
@@ -118,7 +120,7 @@ def search(chunks: DataFrame, key: str, vec: str, queries: DataFrame, dim: int,
     """Hybrid search for ``queries(query, text, embedding)``: filtered dense and sparse rankings, fused and reranked."""
     pool = chunks if where is None else chunks.where(where)
     q = queries.withColumn("query", F.col("query").cast("bigint"))
-    dense = dense_topk(pool, key, vec, q, "query", "embedding", dim, k)
+    dense = dense_topk(pool, key, vec, q, "query", "embedding", dim, k, exclude_self=False)
     sparse = bm25_topk(pool, key, q, "query", k)
     fused = rrf([dense, sparse], final=k)
     wide = fused.join(pool.select(F.col(key).alias("key"), "content", "token_count"), "key").join(q.select("query", F.col("text").alias("query_text")), "query")

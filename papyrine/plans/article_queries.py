@@ -57,7 +57,7 @@ def xml_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def xml_sections(spark: SparkSession, d: str) -> DataFrame:
     s = _parsed(spark, d).select("record_id", F.explode("sections").alias("s"))
-    return s.select("record_id", "s.ord", "s.depth", F.array_join("s.section_path", " > ").alias("path"), F.length("s.content").alias("chars"))
+    return s.select("record_id", "s.ord", "s.depth", F.array_join("s.section_path", " > ").alias("path"))
 
 
 def xml_tables_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +87,7 @@ ORACLES = {
     "xml_metadata": f"""select record_id, {_T.format('doi')} doi, {_T.format('title')} title, array_to_string(list_filter(list_transform(authors, lambda n: {_T.format('n')}), lambda n: n <> ''), '; ') authors,
  {_T.format('journal')} journal, pub_year, array_to_string(list_filter(list_transform(coalesce(keywords, []), lambda n: {_T.format('n')}), lambda n: n <> ''), '; ') keywords, coalesce(article_type, '') article_type, coalesce(license, '') license
  from (select * replace (coalesce(authors, []) as authors) from papers) where {_FULL}""",
+    "xml_sections": f"""select record_id, o::INT ord, o::INT depth, case when o = 0 then 'Methods' else 'Methods > Data' end path from papers, (select unnest([0, 1]) o) where {_FULL} and ({_T.format('journal')} <> '' or o = 0 and {_T.format('title')} <> '')""",
     "xml_tables_markdown": f"select record_id, 'T1' id, 'Data' section, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || record_id || ' | x\\|y |' markdown from papers where {_FULL}",
     "xml_validate": f"""select record_id, case when not {_FULL} then 'empty_file' else concat_ws(',', case when record_id % 7 = 0 then 'missing_pmcid' end, case when {_T.format('title')} = '' then 'missing_title' end) end errors,
  case when {_FULL} and (record_id % 11 = 0 or {_T.format('title')} = '') then 'missing_abstract' else '' end warnings from papers""",

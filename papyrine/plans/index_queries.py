@@ -77,7 +77,7 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
     place = first.join(chunks, "chunk_id").select("vec_id", "row_id")
     items = table(spark, d, "eval_items").select((F.col("item_id") - 1000).alias("q"), "text")
     queries = v.where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("bigint").alias("q"), "embedding")
-    dense = retrieval.dense_topk(v, "vec_id", "embedding", queries, "q", "embedding", DIM, k=20, digits=5)
+    dense = retrieval.dense_topk(v, "vec_id", "embedding", queries, "q", "embedding", DIM, k=20, digits=5, exclude_self=False)
     dense = dense.join(place.withColumnRenamed("vec_id", "key"), "key").select("query", F.col("row_id").alias("key"), "rank")
     dense = dense.groupBy("query", "key").agg(F.min("rank").alias("rank"))
     lexical = retrieval.bm25_topk(table(spark, d, "chunks"), "row_id", items.join(queries.select("q"), "q"), "q", k=20, digits=5)
@@ -204,6 +204,12 @@ ORACLES = {
     "doc_freq_idf": f"select term, df, round(idf, 6) idf from ({_IDF})",
     "sparse_vectors": f"select row_id, count(*)::INT terms, sum(tf)::DOUBLE words from ({_POST}) group by row_id",
     "bm25_topk": _BM25 + ' select query, row_id, score, "rank" from r where "rank" <= 20',
+    "hybrid_rrf": f"""select query, row_id, round(score, 8) score, "rank" from (select *, row_number() over (partition by query order by score desc, row_id)::INT "rank" from (
+ select query, row_id, round(sum(s), 9) score from (
+  select query, row_id, 1.0 / (60 + min("rank")) s from (select d.query // 100 query, place.row_id, d."rank" from ({_DENSE.format('').replace('q.vec_id <> k.vec_id and ', '')} select * from r where "rank" <= 20) d
+   join (select min(vec_id) vec_id, chunk_id from embedded_chunks where embedding is not null group by chunk_id) f using (vec_id) join (select chunk_id, min(row_id) row_id from chunks group by 1) place using (chunk_id)) group by query, row_id
+  union all select query - 1000, row_id, 1.0 / (60 + "rank") from ({_BM25} select * from r where "rank" <= 20) where (query - 1000) * 100 in (select vec_id from embedded_chunks)
+ ) group by query, row_id)) where "rank" <= 20""",
     "rerank": _BM25 + f""", t as (select r.query, r.row_id, {_TERMS.format('i.text')} q, {_TERMS.format('c.content')} t from r join eval_items i on i.item_id = r.query join chunks c using (row_id) where "rank" <= 20),
  s2 as (select query, row_id, case when len(list_distinct(q)) > 0 then round(len(list_intersect(list_distinct(q), list_distinct(t))) / len(list_distinct(q)), 6) else 0.0 end score from t),
  r2 as (select *, row_number() over (partition by query order by score desc, row_id)::INT "rank" from s2) select query, row_id, score, "rank" from r2 where "rank" <= 5""",

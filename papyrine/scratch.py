@@ -7,12 +7,13 @@ so a lost executor costs a re-read and nothing else.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
@@ -55,6 +56,19 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The written table and its number of rows, observed while it is written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return table, seen.get["n"]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Between rounds of an iteration: let the driver forget earlier plans, so that their shuffle files are removed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hot_keys(df: DataFrame, key: str, over: int, slots: int = 1 << 16) -> DataFrame:
     """Keys that occur in more than ``over`` rows, with their row count, as ``(key, rows)``.
 
