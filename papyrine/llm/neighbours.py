@@ -184,8 +184,9 @@ def _route(graph, blocks, p: Lists, dim: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, parts = graph.value, blocks.value
         for whole in frames:
-            for s in range(0, len(whole), 4096):
-                f = whole.iloc[s : s + 4096]
+            rows = max(256, min(4096, 2_000_000 // len(g.c)))  # a batch holds one number per vector and centroid
+            for s in range(0, len(whole), rows):
+                f = whole.iloc[s : s + rows]
                 lists, sims = g.search(_vectors(f["v"], dim), max(p.replicas, p.probes), p.beam)
                 far = np.sqrt(np.maximum(0, 2 - 2 * sims))
                 n = lists.shape[1]
