@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import argparse
 import importlib.util
+import signal
 import sys
 from dataclasses import replace
 
 from papyrine.config import Settings
+from papyrine.log import stage_logger
 from papyrine.session import local_session
 
 
@@ -46,6 +48,16 @@ def check() -> dict[str, bool]:
     return {m: importlib.util.find_spec(m) is not None for m in ("pyspark", "pyarrow", "pandas", "numpy", "tiktoken")}
 
 
+def stop_gently(spark) -> None:
+    """The first interrupt cancels the running jobs, so that finished work stays; the second one ends the process."""
+
+    def once(*_) -> None:
+        signal.signal(signal.SIGINT, signal.default_int_handler)
+        spark.sparkContext.cancelAllJobs()
+
+    signal.signal(signal.SIGINT, once)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     settings = Settings.from_env()
@@ -64,6 +76,8 @@ def main(argv: list[str] | None = None) -> int:
     if getattr(a, "batch_size", None):
         settings = replace(settings, **{"embedding_batch_size" if a.command == "embed" else "indexing_batch_size": a.batch_size})
     spark = local_session()
+    stop_gently(spark)
+    log = stage_logger(a.command, f"{settings.data_dir}/logs", "DEBUG" if a.verbose else settings.log_level)
     run = Run(spark, settings)
     force = a.force or not a.resume
     try:
@@ -76,10 +90,10 @@ def main(argv: list[str] | None = None) -> int:
             out = run.index(force, a.recreate, a.pmcid)
         else:
             out = getattr(run, a.command)(force, a.pmcid, a.limit)
-        out.show(truncate=False)
+        log.info("done: %s", out.toJSON().collect())  # one statistics row
         return 0
     except Exception as e:
-        print(f"{a.command}: {e}", file=sys.stderr)
+        log.error("%s failed: %s", a.command, e)
         return 1
 
 

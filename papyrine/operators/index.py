@@ -58,6 +58,11 @@ def upserted(existing: DataFrame, new: DataFrame, key: str, force: bool = False)
     return existing.unionByName(only_new(new, existing, key))
 
 
+def first_points(points: DataFrame, n: int = 100) -> DataFrame:
+    """The first points by id, for a look at a collection."""
+    return points.orderBy("id").limit(n)
+
+
 class Collection:
     """One collection in a folder that all executors share."""
 

@@ -12,10 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.functions.text import clean_text
 from papyrine.functions.vectors import batches_of, matrix
 from papyrine.operators.sparse import bm25, terms
 
 
+def prepare_queries(queries: DataFrame, text: str = "text") -> DataFrame:
+    """Query texts cleaned like the corpus; blank ones are dropped."""
+    return queries.withColumn(text, clean_text(text)).where(F.col(text) != "")
+
+
 def top(df: DataFrame, by: str, key: str, k: int, query: str = "query") -> DataFrame:
     """Rank per query; the group limit runs before the shuffle."""
     w = Window.partitionBy(query).orderBy(F.col(by).desc(), F.col(key))

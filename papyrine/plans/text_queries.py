@@ -9,6 +9,7 @@ from papyrine.config import Settings
 from papyrine.functions import text as T
 from papyrine.functions.tokens import Whitespace
 from papyrine.operators import chunking, stats, validate
+from papyrine.operators.index import latest
 from papyrine.tables import table
 
 #: Blanks of all scripts as one RE2 class.
@@ -83,8 +84,8 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, d, "canonical_docs")
-    docs = c.select("pmcid", "metadata.title", "metadata.journal", "metadata.pub_year", "abstract", "doc_tables", "figures").dropDuplicates(["pmcid"])
+    c = latest(table(spark, d, "canonical_docs"), "pmcid", "parsed_at", "canon_id")
+    docs = c.select("pmcid", "metadata.title", "metadata.journal", "metadata.pub_year", "abstract", "doc_tables", "figures")
     return docs, table(spark, d, "sections").select("pmcid", "ord", "section_path", "content")
 
 

@@ -96,6 +96,34 @@ def test_search_response_and_retry():
     assert search.retrying(fetch, 3, 1.0, waits.append) == "ok" and waits == [1.0, 2.0]
 
 
+def test_routes(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from papyrine import api
+
+    s = api.server(spark)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    get = lambda p: json.loads(urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}{p}").read())
+    assert get("/")["project"] == "papyrine" and get("/health") == {"status": "healthy"} and api.health(None)["status"] == "unhealthy"
+    try:
+        get("/none")
+        raise AssertionError
+    except urllib.error.HTTPError as e:
+        assert e.code == 404
+    s.shutdown()
+
+
+def test_logs(tmp_path):
+    from papyrine.log import stage_logger
+
+    log = stage_logger("demo", str(tmp_path), console=False)
+    log.info("fine")
+    log.warning("odd")
+    assert "fine" in (tmp_path / "demo.log").read_text() and (tmp_path / "demo_errors.log").read_text().count("\n") == 1
+
+
 def test_settings_and_cli(tmp_path, capsys):
     assert Settings.from_env({"PAPYRINE_TOP_K": "7"}).top_k == 7
     assert cli.main(["setup", "--data-dir", str(tmp_path / "d")]) == 0 and (tmp_path / "d" / "raw").is_dir()
