@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.vectors import norm
 from papyrine.operators import embedding, index, retrieval, sparse, stats, validate
-from papyrine.plans.text_queries import _point
+from papyrine.plans.text_queries import BLANK, _point
 from papyrine.tables import table
 
 DIM = 128
@@ -198,6 +198,7 @@ ORACLES = {
     "embed_validate": f"select vec_id, {_VREASON} reasons from ({_VROWS})",
     "embed_report": f"select reason, count(*) n from (select unnest(string_split({_VREASON}, ',')) reason from ({_VROWS})) where reason <> '' group by 1 union all select case when r = '' then 'valid' else 'rejected' end, count(*) from (select {_VREASON} r from ({_VROWS})) group by 1",
     "embed_stats": f"select count(*) vectors, count(distinct metadata.pmcid) documents, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 4) average_norm from ({_VROWS}) where {_VREASON} = ''",
+    "embed_chunks": f"select chunk_id, 'hashing-256' embedding_model, 256 embedding_dimension, 256 entries, 1.0 norm from chunks where not {BLANK('metadata_header')} or not {BLANK('content')}",
     "dense_topk": _DENSE.format("") + ' select query, vec_id, score, "rank" from r where "rank" <= 20',
     "dense_topk_filtered": _DENSE.format("and k.metadata.pub_year between 2015 and 2020 and k.metadata.chunk_type = 'TEXT'") + ' select query, vec_id, score, "rank" from r where "rank" <= 5',
     "term_freq": _POST,
