@@ -24,11 +24,14 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.operators.components import components
 from papyrine.scratch import counted, materialize, tidy
 
 # Given names and their usual short forms.
@@ -249,15 +252,14 @@ def person_keys(slots: list[list[str]]) -> set[str]:
 
 
 def title_keys(slots: list[list[str]]) -> set[str]:
-    """First letters of all positions, as they are and with each one left open."""
-    letters = [sorted({w[0] for w in s})[:3] for s in slots]
-    first = "".join(x[0] for x in letters)
-    keys = {f"t|{first}"}
+    """First letters of all positions in all combinations met, as they are and with each one left open."""
+    keys = set()
     anchors = {w[:3] for s in slots[:2] for w in s if len(w) > 5} | {w[:3] for s in slots for w in s if len(w) > 7}
-    for i in range(len(first)):
-        keys.update(f"w|{first[:i]}?{first[i + 1 :]}|{a}" for a in anchors)
-        for other in letters[i][1:]:
-            keys.add(f"t|{first[:i]}{other}{first[i + 1 :]}")
+    for letters in product(*({w[0] for w in s} for s in slots)):
+        first = "".join(letters)
+        keys.add(f"t|{first}")
+        for i in range(len(first)):
+            keys.update(f"w|{first[:i]}?{first[i + 1 :]}|{a}" for a in anchors)
     return keys
 
 
@@ -345,13 +347,36 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return up.join(step, "root", "left").select(F.col("a").alias("pid"), F.coalesce("next", "root").alias("root"))
 
 
-def _merge(profiles: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The merged profiles, and ``(pid, root)`` of those that went into them.
+def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(pid, root)`` of all links of one task, by hooking roots to smaller ones and shortening the paths."""
+    links = [f[["a", "b"]].to_numpy(np.int64) for f in frames]
+    if not links:
+        return
+    nodes, at = np.unique(np.concatenate(links).T, return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pd.DataFrame({"pid": nodes, "root": nodes[root]})
+
+
+def _closed(edges: DataFrame, links: int, in_one: int = 1_000_000) -> DataFrame:
+    """``(pid, root)`` for both ends of links ``(a, b)``: the smallest one over any number of steps.
 
-    Each profile joins the smallest one it matches, or the one that joins in turn. Chains that are longer than that
-    meet again in the next round, with the merged spellings.
+    Up to ``in_one`` links are closed by one task, more by rounds over the cluster; the result is the same.
     """
-    roots = materialize(_smallest(edges), "roots")
+    if links > in_one:
+        return components(edges).select(F.col("node").alias("pid"), F.col("component").alias("root"))
+    return edges.coalesce(1).mapInPandas(_grouped, "pid bigint, root bigint")
+
+
+def _merge(profiles: DataFrame, edges: DataFrame, links: int) -> tuple[DataFrame, DataFrame]:
+    """The merged profiles, and ``(pid, root)`` of those that went into them: all that are linked over any number of steps."""
+    roots = materialize(_closed(edges, links), "roots")
     merged = profiles.join(roots, "pid").select("kind", "root", F.posexplode("slots").alias("at", "words"), "middles")
     slots = merged.groupBy("kind", "root", "at").agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"), F.array_distinct(F.flatten(F.collect_list("middles"))).alias("middles")
@@ -362,29 +387,31 @@ def _merge(profiles: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return new.select("kind", F.col("root").alias("pid"), "slots", "middles"), roots
 
 
-def _resolve(profiles: DataFrame, counts, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def _resolve(profiles: DataFrame, counts) -> tuple[DataFrame, DataFrame]:
     """Merge and rematch until nothing changes: final profiles and ``(pid, root)`` over all rounds.
 
     Keys of profiles that did not change are kept; after the first round only blocks that hold a merged profile meet
-    again.
+    again. Every round with a match leaves fewer profiles, so the rounds end.
     """
     everyone = profiles.select("pid", F.col("pid").alias("root"))
     keyed = materialize(profiles.mapInPandas(_keyed, PROFILE + ", key string"), "keyed")
     blocks = keyed
-    for _ in range(rounds):
+    for done in count(1):
         many = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")  # lone rows need not move as wide rows
         meeting = blocks.join(many, "key", "left_semi")
         edges = meeting.repartition("key").sortWithinPartitions("key").mapInPandas(_match(counts), "a bigint, b bigint").distinct()
         edges, found = counted(edges, "matches")
         if not found:
             break
-        new, roots = _merge(profiles, edges)
+        new, roots = _merge(profiles, edges, found)
         new = materialize(new, "merged")
         profiles = profiles.join(roots.select("pid"), "pid", "left_anti").select(new.columns).unionByName(new)
         step = roots.select(F.col("pid").alias("root"), F.col("root").alias("next"))
         everyone = everyone.join(step, "root", "left").select("pid", F.coalesce("next", "root").alias("root"))
         fresh = materialize(new.mapInPandas(_keyed, PROFILE + ", key string"), "fresh")
         keyed = keyed.join(roots.select("pid"), "pid", "left_anti").select(fresh.columns).unionByName(fresh)
+        if done % 4 == 0:  # plans stay short
+            profiles, everyone, keyed = materialize(profiles, "profiles"), materialize(everyone, "everyone"), materialize(keyed, "keyed")
         blocks = keyed.join(fresh.select("key").distinct(), "key", "left_semi")
         tidy(profiles.sparkSession)
     return materialize(profiles, "profiles"), materialize(everyone, "everyone")

@@ -63,3 +63,38 @@ def test_variants_and_ambiguity(spark):
 
 def test_empty(spark):
     assert pairs(spark, [None, ""]) == set()
+
+
+def resolved(spark, titles):
+    """Groups of the numbers of titles, each title a profile under its number."""
+    rows = [("journal", pid, [[w] for w in t.split()], []) for pid, t in titles.items()]
+    _, roots = N._resolve(spark.createDataFrame(rows, N.PROFILE), spark.sparkContext.broadcast({}))
+    groups = {}
+    for r in roots.collect():
+        groups.setdefault(r["root"], set()).add(r["pid"])
+    return sorted(sorted(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("in_one", [0, 1000])
+def test_links_are_closed(spark, in_one):
+    links = [(1, 3), (2, 3), (-5, 9), (8, 9), (7, 8), (6, 7), (20, 21)]
+    got = N._closed(spark.createDataFrame(links, "a bigint, b bigint"), len(links), in_one)
+    assert {r["pid"]: r["root"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, -5: -5, 6: -5, 7: -5, 8: -5, 9: -5, 20: 20, 21: 20}
+    assert N._closed(spark.createDataFrame([], "a bigint, b bigint"), 0, in_one).count() == 0
+
+
+def test_hub_with_the_largest_id(spark):
+    titles = {3: "quarterly neurology pediatrics", 1: "auarterly neurology pediatrics", 2: "quarterly beurology pediatrics", 9: "quarterly nephrology pediatrics"}
+    assert resolved(spark, titles) == [[1, 2, 3], [9]]
+
+
+def test_combinations_of_initials(spark):
+    assert "t|dx" in N.title_keys([["a", "b", "c", "d"], ["x"]])
+    titles = {1: "quarterly neurology pediatrics surgery", 2: "wuarterly neurology pediatrics surgery", 3: "quarterly meurology pediatrics surgery", 4: "quarterly neurology oediatrics surgery"}
+    assert resolved(spark, {**titles, 5: "wuarterly meurology oediatrics surgery"}) == [[1, 2, 3, 4, 5]]
+
+
+def test_rounds_until_nothing_matches(spark):
+    word = lambda k: "n" + "abcdefghijklm"[:k] + "opqrstuvwxyzz"[k:]
+    titles = {k: f"{word(k)} {'pediatrics' if k % 2 else 'pediatrixs'}" for k in range(1, 13)} | {0: f"{word(0)} pediatrics", 13: f"{word(0)} pediatrixs"}
+    assert resolved(spark, titles) == [list(range(14))]
