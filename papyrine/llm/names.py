@@ -339,14 +339,6 @@ def _match(sent):
     return run
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """``(pid, root)`` for both ends of links ``(a, b)``: the smallest one within two steps."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    up = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    step = up.select(F.col("a").alias("root"), F.col("root").alias("next"))
-    return up.join(step, "root", "left").select(F.col("a").alias("pid"), F.coalesce("next", "root").alias("root"))
-
-
 def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``(pid, root)`` of all links of one task, by hooking roots to smaller ones and shortening the paths."""
     links = [f[["a", "b"]].to_numpy(np.int64) for f in frames]
@@ -523,9 +515,10 @@ def variant_pairs(spellings: DataFrame) -> DataFrame:
     own = full.join(start.select("family", "formal", "pid"), ["family", "formal"]).select("nid", "pid")
     own = own.unionByName(parsed.where("words is not null and not cut").join(titles, ["kind", "words"]).select("nid", "pid"))
     placed = own.join(roots, "pid").select("nid", "root").distinct()
-    # names in two parts stand under both orders; their groups are one
+    # names in two parts stand under both orders, so under two groups at most; their groups are one
     ends = placed.groupBy("nid").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    one = materialize(_smallest(ends.select("a", "b").distinct()).select(F.col("pid").alias("root"), F.col("root").alias("component")), "turned")
+    ends, found = counted(ends.select("a", "b").distinct(), "ends")
+    one = materialize(_closed(ends, found).select(F.col("pid").alias("root"), F.col("root").alias("component")), "turned")
     placed = placed.join(one, "root", "left").select("nid", F.coalesce("component", "root").alias("root")).distinct()
     cut = _attach_cut(parsed.where("words is not null and cut"), final).join(one, "root", "left").select("nid", F.coalesce("component", "root").alias("root"))
     member = placed.unionByName(_attach(people.where("given = ''"), final)).unionByName(cut).distinct()

@@ -98,3 +98,10 @@ def test_rounds_until_nothing_matches(spark):
     word = lambda k: "n" + "abcdefghijklm"[:k] + "opqrstuvwxyzz"[k:]
     titles = {k: f"{word(k)} {'pediatrics' if k % 2 else 'pediatrixs'}" for k in range(1, 13)} | {0: f"{word(0)} pediatrics", 13: f"{word(0)} pediatrixs"}
     assert resolved(spark, titles) == [list(range(14))]
+
+
+def test_turned_titles_around_a_hub(spark):
+    """Both titles in two parts stand under the words in this order, whose group has the largest id."""
+    titles = ["Quarterly: Neurology Frontiers Pediatrics", "Quarterly Neurology: Frontiers Pediatrics", "Neurology Frontiers Pediatrics Quarterly", "Frontiers Pediatrics Quarterly Neurology"]
+    got = pairs(spark, [], [*titles, "Surgery Letters Quarterly Oncology"])
+    assert got == {(min(a, b), max(a, b)) for a in titles for b in titles if a != b}
