@@ -5,7 +5,10 @@ the corpus texts of an Arrow batch at once; a text whose seeds could cover enoug
 tiling: longest common runs are found by rolling hashes (Karp-Rabin), longest first, and marked so that no word is used
 twice, down to ``shortest`` words. Tiles that lie close together in the text form a stretch; altered words between two
 tiles of one stretch bridge them. The item leaked if its two best stretches cover at least ``cover`` of its words, in
-any order of the stretches. The scan is narrow: no text is shuffled, whatever the number of copies.
+any order of the stretches. Where fewer than that are matched word for word, a second scan counts the texts that hold the
+runs of these stretches: a run met more often elsewhere than in texts that reproduce the item is a turn of speech, and at
+least half of the matched words must lie in tiles that have other runs. The scans are narrow: no text is shuffled,
+whatever the number of copies.
 
 Defined results
 * Null or blank texts and items, and rows with a null id, give no rows; items without any word cannot leak.
@@ -29,6 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.scratch import materialize
+
+PASSAGES = "doc_id bigint, item_id bigint, matched double, covered double, tiles array<struct<words int, runs array<bigint>>>"
+TILES = pa.list_(pa.struct([("words", pa.int32()), ("runs", pa.list_(pa.int64()))]))
 WORD = re.compile(r"[^\W_]+")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n\s*(?=[a-zß-ɏ])")
@@ -45,8 +52,7 @@ class Tiling:
     seed: int = 4
     shortest: int = 3
     candidate_cover: float = 0.25
-    cover: float = 0.55
-    matched: float = 0.5
+    cover: float = 0.5
     gap: int = 6
     bridge: int = 2
     part_words: int = 2_000_000
@@ -102,6 +108,11 @@ class Items:
             h = (h * 0x9E3779B97F4A7C15 + int(w) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    def runs(self, n: int, at: int, words: int, p: Tiling) -> list[int]:
+        """Codes, as signed numbers, of the shortest runs in a tile of an item."""
+        w = self.words[n][at : at + words]
+        return [int(np.uint64(self.code(w[i : i + p.shortest])).view(np.int64)) for i in range(words - p.shortest + 1)]
+
 
 def tiles(pattern: list[int], text: list[int], shortest: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(place in pattern, place in text, length)``, longest runs first, without overlap.
@@ -156,10 +167,11 @@ def tiles(pattern: list[int], text: list[int], shortest: int) -> list[tuple[int,
     return found
 
 
-def coverage(found: list[tuple[int, int, int]], size: int, p: Tiling) -> tuple[float, float]:
-    """Shares of the item's words in its two best stretches: matched, and with bridged words."""
-    stretches: list[tuple[int, int]] = []
+def coverage(found: list[tuple[int, int, int]], size: int, p: Tiling) -> tuple[float, float, list[tuple[int, int]]]:
+    """Shares of the item's words in its two best stretches, matched and with bridged words, and their tiles ``(place, length)``."""
+    stretches: list[tuple[int, int, list[tuple[int, int]]]] = []
     hit = bridged = 0
+    parts: list[tuple[int, int]] = []
     last: tuple[int, int, int] | None = None
     for i, j, n in sorted(found, key=lambda t: t[1]):
         if last is not None:
@@ -167,20 +179,21 @@ def coverage(found: list[tuple[int, int, int]], size: int, p: Tiling) -> tuple[f
             if gap_t <= p.gap and 0 <= gap_p <= p.gap:
                 bridged += min(gap_p, p.bridge)
                 hit += n
+                parts.append((i, n))
                 last = (i, j, n)
                 continue
             if gap_t <= p.gap and n < p.seed:
                 continue  # a short stray run does not end a stretch
-            stretches.append((hit + bridged, hit))
-        hit, bridged, last = n, 0, (i, j, n)
+            stretches.append((hit + bridged, hit, parts))
+        hit, bridged, last, parts = n, 0, (i, j, n), [(i, n)]
     if last is not None:
-        stretches.append((hit + bridged, hit))
+        stretches.append((hit + bridged, hit, parts))
     best = sorted(stretches, reverse=True)[:2]
-    return sum(h for _, h in best) / size, sum(c for c, _ in best) / size
+    return sum(h for _, h, _ in best) / size, sum(c for c, _, _ in best) / size, [t for _, _, ts in best for t in ts]
 
 
-def leaks_in(texts: list[str | None], items: Items, p: Tiling) -> list[tuple[int, int, float, float]]:
-    """``(text index, item index, matched, covered)`` of the texts of one batch."""
+def _numbered(texts: list[str | None], items: Items) -> tuple[list[int], list[int], np.ndarray]:
+    """Texts with words, their numbers of words, and all words as the items' numbers (0: foreign)."""
     get = items.vocabulary.get
     rows, sizes, flat = [], [], []
     for i, t in enumerate(texts):
@@ -189,24 +202,34 @@ def leaks_in(texts: list[str | None], items: Items, p: Tiling) -> list[tuple[int
             rows.append(i)
             sizes.append(len(words))
             flat += [get(w, 0) for w in words]
+    return rows, sizes, np.array(flat, np.uint64)
+
+
+def _runs(w: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all runs of ``k`` words, and the places of those without foreign words inside one text."""
+    n = len(w) - k + 1
+    code = np.zeros(n, np.uint64)
+    known = np.ones(n, bool)
+    for j in range(k):
+        part = w[j : j + n]
+        code = code * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(1)
+        known &= part > 0
+    known &= owner[:n] == owner[k - 1 : k - 1 + n]
+    return code, np.flatnonzero(known)
+
+
+def leaks_in(texts: list[str | None], items: Items, p: Tiling) -> list[tuple[int, int, float, float, list[tuple[int, int]]]]:
+    """``(text index, item index, matched, covered, tiles)`` of the texts of one batch."""
+    rows, sizes, w = _numbered(texts, items)
     if not rows or not items.words:
         return []
-    w = np.array(flat, np.uint64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
     pairs = []
     for k in items.lengths:
         if len(w) < k:
             continue
-        n = len(w) - k + 1
-        code = np.zeros(n, np.uint64)
-        known = np.ones(n, bool)
-        for j in range(k):
-            part = w[j : j + n]
-            code = code * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(1)
-            known &= part > 0
-        known &= owner[:n] == owner[k - 1 : k - 1 + n]
-        at = np.flatnonzero(known)
+        code, at = _runs(w, owner, k)
         lo, hi = np.searchsorted(items.codes, code[at]), np.searchsorted(items.codes, code[at], side="right")
         many = hi - lo
         at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
@@ -227,9 +250,9 @@ def leaks_in(texts: list[str | None], items: Items, p: Tiling) -> list[tuple[int
         text = [int(x) for x in w[starts[d] : starts[d + 1]]]
         pattern = items.words[n]
         own = set(pattern)
-        matched, share = coverage(tiles(pattern, [x if x in own else 0 for x in text], p.shortest), len(pattern), p)
-        if share >= p.cover and matched >= p.matched:
-            out.append((rows[d], int(n), matched, share))
+        matched, share, parts = coverage(tiles(pattern, [x if x in own else 0 for x in text], p.shortest), len(pattern), p)
+        if share >= p.cover:
+            out.append((rows[d], int(n), matched, share, parts))
     return out
 
 
@@ -246,11 +269,54 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, evals: DataFrame, it
         mine = known if parts == 1 else known.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
         items = Items([(r["i"], r["t"]) for r in mine.orderBy("i").collect()], params)  # at most part_words words
         sent = spark.sparkContext.broadcast(items)
-        found = rows.mapInArrow(_scan(sent, params), "doc_id bigint, item_id bigint, matched double, covered double")
+        found = materialize(rows.mapInArrow(_scan(sent, params), PASSAGES), "passages")
+        found = _without_turns(found, rows, sent, params)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _without_turns(found: DataFrame, rows: DataFrame, sent, p: Tiling) -> DataFrame:
+    """The passages matched for the most part, and of the others those that do not consist of turns of speech."""
+    doubtful = found.where(F.col("matched") < p.cover)
+    run = F.explode(F.array_distinct(F.flatten("tiles.runs"))).alias("run")
+    asked = [r["run"] for r in doubtful.select(run).distinct().collect()]  # runs of the items of one part
+    columns = ["doc_id", "item_id", "matched", "covered"]
+    if not asked:
+        return found.select(columns)
+    codes = found.sparkSession.sparkContext.broadcast(np.sort(np.array(asked, np.int64)))
+    texts = rows.mapInArrow(_counted_runs(sent, codes, p), "run bigint, texts bigint").groupBy("run").agg(F.sum("texts").alias("texts"))
+    here = found.select("item_id", run).groupBy("item_id", "run").agg(F.count("*").alias("here"))
+    turns = here.join(texts, "run").where("texts - here > here").groupBy("item_id").agg(F.collect_set("run").alias("turns"))
+    judged = doubtful.join(turns, "item_id", "left").withColumn("turns", F.coalesce("turns", F.array().cast("array<bigint>")))
+    total = lambda tiles: F.aggregate(tiles, F.lit(0), lambda s, t: s + t["words"])
+    own = F.filter("tiles", lambda t: F.size(F.array_except(t["runs"], F.col("turns"))) > 0)
+    judged = judged.where(2 * total(own) >= total(F.col("tiles")))
+    return found.where(F.col("matched") >= p.cover).select(columns).unionByName(judged.select(columns))
+
+
+def _counted_runs(sent, asked, p: Tiling):
+    """``(run, texts)``: in how many texts of a task each asked run occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, codes = sent.value, asked.value
+        texts = np.zeros(len(codes), np.int64)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2000):
+                rows, sizes, w = _numbered(whole.column(1).slice(s, 2000).to_pylist(), items)
+                if len(w) < p.shortest:
+                    continue
+                owner = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
+                code, at = _runs(w, owner, p.shortest)
+                mine = code[at].view(np.int64)
+                place = np.minimum(np.searchsorted(codes, mine), len(codes) - 1)
+                hit = codes[place] == mine
+                met = np.unique(np.stack([owner[at[hit]], place[hit]], axis=1), axis=0)
+                texts += np.bincount(met[:, 1], minlength=len(codes))
+        yield pa.RecordBatch.from_arrays([pa.array(codes[texts > 0]), pa.array(texts[texts > 0])], ["run", "texts"])
+
+    return run
+
+
 def _scan(sent, p: Tiling):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
@@ -259,9 +325,11 @@ def _scan(sent, p: Tiling):
                 b = whole.slice(s, 2000)
                 hits = leaks_in(b.column(1).to_pylist(), items, p)
                 if hits:
-                    i, n, m, c = zip(*hits)
+                    i, n, m, c, parts = zip(*hits)
+                    tiles_ = [[{"words": k, "runs": items.runs(x, at, k, p)} for at, k in ts] for x, ts in zip(n, parts)]
                     yield pa.RecordBatch.from_arrays([
                         b.column(0).take(pa.array(i)), pa.array([items.ids[x] for x in n], pa.int64()), pa.array(m, pa.float64()), pa.array(c, pa.float64()),
-                    ], ["doc_id", "item_id", "matched", "covered"])
+                        pa.array(tiles_, TILES),
+                    ], ["doc_id", "item_id", "matched", "covered", "tiles"])
 
     return run

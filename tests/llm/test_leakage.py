@@ -73,3 +73,22 @@ def test_frames(spark):
     assert run(L.Tiling()) == [(1, 7), (1, 7), (4, 7)] == run(L.Tiling(part_words=5))
     assert L.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert L.find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
+
+
+def test_half_of_the_wording():
+    item = " ".join(f"own{i}" for i in range(40))
+    assert hit(" ".join(item.split()[10:30]), item) and hit(filler(50) + " " + " ".join(item.split()[3:24]), item)
+    assert not hit(" ".join(item.split()[10:29]), item)
+
+
+def test_altered_passages_and_turns_of_speech(spark):
+    """Both texts match 20 of 44 words and 23 with the altered ones; only the runs of the second item are met elsewhere."""
+    own, turns = ([f"{k}{i}" for i in range(44)] for k in ("own", "turn"))
+    altered = lambda w: " ".join(x if i % 6 < 5 else "altered" for i, x in enumerate(w[:23]))
+    docs = [(1, filler(60) + " " + altered(own)), (2, filler(60) + " " + altered(turns)), (5, "")]
+    docs += [(10 + i, filler(30, i) + " " + " ".join(turns[6 * (i % 4) : 6 * (i % 4) + 5])) for i in range(16)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(own)), (8, " ".join(turns))], "item_id long, text string")
+    found = L.find_leaks(frame, "doc_id", "text", items, "item_id", "text").collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 7)]
+    assert found[0]["matched"] < 0.5 <= found[0]["covered"] < 0.55
