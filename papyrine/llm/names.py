@@ -14,7 +14,8 @@ chance is the same person's.
 Defined results
 * Null, empty and blank entries are no names; repeated rows count once; a name that matches nothing gives no pair.
 * Two frequent words or family names that differ by one letter are different; a rare one is taken for a slip.
-* Statistics for nicknames leave out family names shared by more than 8 given names; nothing else does.
+* Statistics for nicknames count all family names. Under those with more than 8 given names, names meet by chance; a nickname
+  must share twice as many family names with its full name as it shares of these with any other one.
 * All pairs of spellings of one person, group or journal are returned.
 """
 
@@ -28,7 +29,7 @@ from itertools import count, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.operators.components import components
@@ -434,20 +435,24 @@ def _given_words(spellings: DataFrame, most: int = 20_000) -> frozenset[str]:
 def _aliases(people: DataFrame, most: int = 20_000) -> dict[str, str]:
     """Short or slipped given names and the given name they stand for, learned from shared family names."""
     seen = people.where("given <> ''").select("family", "given").distinct()
-    few = seen.groupBy("family").agg(F.count("*").alias("n")).where("n between 2 and 8").select("family")
-    small = seen.join(few, "family")
     total = seen.groupBy("given").agg(F.count("*").alias("families"))
-    a, b = small.select("family", F.col("given").alias("short")), small.select("family", F.col("given").alias("full"))
-    both = a.join(b, "family").where("short <> full").groupBy("short", "full").agg(F.count("*").alias("shared"))
-    scored = (
-        both.join(total.withColumnRenamed("given", "short"), "short").join(total.select(F.col("given").alias("full"), F.col("families").alias("of_full")), "full")
-        .where("shared >= 3 and shared >= 0.55 * families and of_full > 2 * families")
-    )
+    seen = seen.join(seen.groupBy("family").agg(F.count("*").alias("givens")), "family").join(total, "given")
+    seen = materialize(seen, "given")
+    # enough shared family names leave none of these out: so many of the smallest ones that the others are too few
+    least = F.greatest(F.lit(3), F.ceil(0.55 * F.col("families") - 1e-9))
+    at = F.row_number().over(Window.partitionBy("given").orderBy("givens", "family"))
+    some = seen.where("families >= 3").withColumn("at", at).where(F.col("at") <= F.col("families") - least + 1)
+    full = seen.select("family", F.col("given").alias("full"), F.col("families").alias("of_full"))
+    met = some.join(full, "family").where("of_full > 2 * families").select("given", "full").distinct()
+    both = met.join(seen, "given").join(full.select("family", "full"), ["family", "full"]).groupBy("given", "full").agg(
+        F.count("*").alias("shared"), F.count_if(F.col("givens") > 8).alias("common"), F.first("families").alias("families")
+    )
+    others = F.max("common").over(Window.partitionBy("given").orderBy(F.desc("shared"), "full").rowsBetween(1, Window.unboundedFollowing))
+    first = F.row_number().over(Window.partitionBy("given").orderBy(F.desc("shared"), "full"))
+    scored = both.withColumn("others", F.coalesce(others, F.lit(0))).withColumn("first", first).where((F.col("first") == 1) & (F.col("shared") >= least))
+    scored = scored.where("shared >= 2 * others").select(F.col("given").alias("short"), "full", "shared")
     rows = scored.orderBy(F.desc("shared"), "short").limit(most).collect()
-    best: dict[str, str] = {}
-    for r in rows:
-        best.setdefault(r["short"], r["full"])
-    return best
+    return {r["short"]: r["full"] for r in rows}
 
 
 def _parsed(given):

@@ -105,3 +105,13 @@ def test_turned_titles_around_a_hub(spark):
     titles = ["Quarterly: Neurology Frontiers Pediatrics", "Quarterly Neurology: Frontiers Pediatrics", "Neurology Frontiers Pediatrics Quarterly", "Frontiers Pediatrics Quarterly Neurology"]
     got = pairs(spark, [], [*titles, "Surgery Letters Quarterly Oncology"])
     assert got == {(min(a, b), max(a, b)) for a in titles for b in titles if a != b}
+
+
+def test_nicknames_under_common_family_names(spark):
+    """A short name learned from family names with many given names; a name that meets all others there is no short one."""
+    rows = [(f"hot{f}", f"other{f}x{g}") for f in range(6) for g in range(10)] + [(f"hot{f}", g) for f in range(6) for g in ("zuzu", "zusanna")]
+    rows += [(f"rare{f}", g) for f in range(9) for g in ("zusanna", "marta")]
+    rows += [(f"big{f}", g) for f in range(4) for g in ("zusanna", "marta", "ivo", *(f"g{f}x{i}" for i in range(9)))]
+    rows += [(f"few{f}", g) for f in range(3) for g in ("lulu", "lucasta")] + [(f"lone{f}", "lucasta") for f in range(5)]
+    people = spark.createDataFrame(rows, "family string, given string")
+    assert N._aliases(people) == {"zuzu": "zusanna", "lulu": "lucasta"}
