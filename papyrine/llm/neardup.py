@@ -9,10 +9,10 @@ exceed the radius are abandoned. Pairs within the radius are checked exactly on
 
 Defined results
 * Texts with fewer than ``min_words`` words, null and blank texts, and rows with a null key take part in nothing.
-* Texts with the same words in the same numbers form one class; the search runs over one text per class. Classes of up
-  to ``all_pairs_up_to`` members are written as all their pairs; of a larger class each member is paired with the
-  class's first text only (and links to other classes run between the first texts), so no text loses its links and
-  the result stays linear in the number of copies.
+* Texts with the same words in the same numbers form one class; the search runs over one text per class. Up to
+  ``all_pairs_up_to`` exact copies of a text are written with all their pairs; of more copies each one is paired with the
+  first only (and links to other texts run from the first), so no text loses its links and the result stays linear in
+  the number of copies. Different texts of a class, such as reorderings, are written with all their pairs.
 * A block is never cut: blocks of more than ``tile_rows`` texts are compared tile against tile in separate tasks.
 * With 24 bands of 4 hashes a pair of similarity 0.7 is missed with probability 0.0014, one of 0.8 with 5e-6.
 * Only the named columns are read.
@@ -20,6 +20,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -108,7 +109,8 @@ def _rows(kind: int, s: Sketch, min_words: int):
         for whole in batches:
             for first in range(0, whole.num_rows, 4000):
                 b = whole.slice(first, 4000)
-                at, starts, e = elements(b.column(1).to_pylist(), min_words)
+                texts = b.column(1).to_pylist()
+                at, starts, e = elements(texts, min_words)
                 n = len(at)
                 if not n:
                     continue
@@ -127,16 +129,16 @@ def _rows(kind: int, s: Sketch, min_words: int):
                 width = sketch.shape[1]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, kind, np.int8)), b.column(0).take(pa.array(at)), pa.array((ends - starts).astype(np.int32)),
-                    pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                    pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([hashlib.blake2b(texts[i].encode(), digest_size=16).digest() for i in at], pa.binary()),
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(sketch)]),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * s.bands), pa.array(keys.view(np.int64).ravel())),
                     pa.ListArray.from_arrays(pa.array(np.append(starts, len(e)).astype(np.int32)), pa.array(e.view(np.int32))),
-                ], ["kind", "id", "n", "f1", "f2", "sketch", "keys", "words"])
+                ], ["kind", "id", "n", "f1", "f2", "exact", "sketch", "keys", "words"])
 
     return run
 
 
-SKETCHED = "kind tinyint, id bigint, n int, f1 bigint, f2 bigint, sketch binary, keys array<bigint>, words array<int>"
+SKETCHED = "kind tinyint, id bigint, n int, f1 bigint, f2 bigint, exact binary, sketch binary, keys array<bigint>, words array<int>"
 
 
 def _add(levels: list[np.ndarray]) -> list[np.ndarray]:
@@ -269,8 +271,9 @@ def near_duplicates(tables: list[tuple[DataFrame, str, str]], least: float = 0.7
     """Links and copies among texts of the same kind.
 
     ``tables`` lists ``(frame, key column, text column)``; the kind is the position in the list. Returns
-    ``pairs(kind, a, b)`` between the first texts of classes, and ``members(kind, id, rep, copies)`` with one row per
-    text that belongs to a class of two or more.
+    ``pairs(kind, a, b)`` between the first texts of classes, and ``members(kind, id, rep, copies, head, same)`` with one
+    row per text that belongs to a class of two or more: its class's first text and size, the first of the texts equal
+    to it as strings, and their number.
     """
     parts = [
         df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
@@ -281,8 +284,10 @@ def near_duplicates(tables: list[tuple[DataFrame, str, str]], least: float = 0.7
     for more in parts[1:]:
         base = base.unionByName(more)
     base = materialize(base, "sketches")
-    classes = base.groupBy("kind", "n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    members = base.select("kind", "n", "f1", "f2", "id").join(classes, ["kind", "n", "f1", "f2"]).select("kind", "id", "rep", "copies")
+    words = ["kind", "n", "f1", "f2"]
+    equal = base.groupBy(*words, "exact").agg(F.min("id").alias("head"), F.count("*").alias("same"))
+    classes = equal.groupBy(*words).agg(F.min("head").alias("rep"), F.sum("same").alias("copies")).where("copies > 1")
+    members = base.select(*words, "exact", "id").join(classes, words).join(equal, [*words, "exact"]).select("kind", "id", "rep", "copies", "head", "same")
     members = materialize(members, "copies")
     reps = base.join(members.where("id <> rep").select("kind", "id"), ["kind", "id"], "left_anti")
 
@@ -315,9 +320,9 @@ def _tiled(rows: DataFrame, hot: DataFrame, s: Sketch) -> DataFrame:
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame, params: Sketch = Sketch()) -> DataFrame:
-    """``(kind, a, b)`` with copies put back, under the rule for large classes given above."""
-    small = members.where(F.col("copies") <= params.all_pairs_up_to)
-    large = members.where((F.col("copies") > params.all_pairs_up_to) & (F.col("id") != F.col("rep")))
+    """``(kind, a, b)`` with copies put back, under the rule for many exact copies given above."""
+    later = (F.col("same") > params.all_pairs_up_to) & (F.col("id") != F.col("head"))
+    small, large = members.where(~later), members.where(later)
     left = small.select("kind", F.col("rep").alias("a"), F.col("id").alias("a2"))
     right = small.select("kind", F.col("rep").alias("b"), F.col("id").alias("b2"))
     across = (
@@ -325,7 +330,7 @@ def all_pairs(pairs: DataFrame, members: DataFrame, params: Sketch = Sketch()) -
         .select("kind", F.coalesce("a2", "a").alias("x"), F.coalesce("b2", "b").alias("y"))
     )
     mates = small.select("kind", "rep", F.col("id").alias("x")).join(small.select("kind", "rep", F.col("id").alias("y")), ["kind", "rep"]).where("x < y")
-    out = across.unionByName(mates.select("kind", "x", "y")).unionByName(large.select("kind", F.col("rep").alias("x"), F.col("id").alias("y")))
+    out = across.unionByName(mates.select("kind", "x", "y")).unionByName(large.select("kind", F.col("head").alias("x"), F.col("id").alias("y")))
     return out.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

@@ -54,6 +54,18 @@ def test_copies_beyond_the_bound(spark):
     assert len(groups) == 102 and {r["class_id"] for r in groups} == {0} and {r["links"] for r in groups} == {1}
 
 
+def test_many_reorderings_are_different_texts(spark):
+    rng = random.Random(6)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    texts = [" ".join(base[i:] + base[:i]) for i in range(50)] + [" ".join(base[i:] + base[:i]).upper() for i in range(20)]
+    near = " ".join([*base[:-4], "x1", "x2", "x3", "x4"])
+    rows = list(enumerate([*texts, near])) + [(100 + i, texts[3]) for i in range(70)]
+    got = D.all_pairs(*D.near_duplicates([(spark.createDataFrame(rows, "row_id long, content string"), "row_id", "content")]))
+    got = [(r["a"], r["b"]) for r in got.collect()]
+    want = {(a, b) for a in range(71) for b in range(a + 1, 71)} | {(3, 100 + i) for i in range(70)}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_hot_blocks_are_tiled(spark):
     texts = corpus(2)
     df = spark.createDataFrame(list(enumerate(texts)), "row_id long, content string")
