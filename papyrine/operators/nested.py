@@ -57,7 +57,7 @@ def _parsed(text: str):
 
 def as_list(value) -> list:
     if isinstance(value, str):
-        value = _parsed(value) if value[:64].lstrip()[:1] in ("[", "{") else None
+        value = _parsed(value) if value.lstrip()[:1] in ("[", "{") else None
     if isinstance(value, dict):
         return [value]
     return value if isinstance(value, list) else []

@@ -22,6 +22,14 @@ def test_shapes():
     assert len(paths([deep])) == 501
 
 
+def test_list_as_text_behind_many_blanks():
+    a = {"title": "A", "content": "x"}
+    for blanks in (63, 64, 5000):
+        assert paths({"title": "own", "subsections": " " * blanks + json.dumps([a])}) == [("0", ""), ("0.0", "0")]
+        assert paths({"title": "own", "subsections": "\n" * blanks + json.dumps(a)}) == [("0", ""), ("0.0", "0")]
+    assert paths({"title": "own", "subsections": " " * 5000}) == [("0", "")]
+
+
 def test_table_parents():
     secs = json.dumps([{"title": "One", "subsections": [{"title": "Two"}, {"title": "two "}]}, {"title": "Three"}])
     tables = [{"section": " oNe "}, None, {"section": "Two"}, {"section": ""}, {"section": None}, {"section": "x"}, {"section": "THREE"}]
