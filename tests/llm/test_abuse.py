@@ -68,3 +68,23 @@ def test_frames(spark):
     none = A.scores(docs, "doc_id", "text", labels.where("flagged = 0"), "doc_id", "flagged")
     assert none.where("flagged").count() == 0 and none.count() == 203
     assert A.scores(docs.limit(0), "doc_id", "text", labels, "doc_id", "flagged").count() == 0
+
+
+def test_wrong_labels_teach_nothing():
+    """One label in seven of the bad ones is wrong; what those texts say must not be flagged elsewhere."""
+    x, y = data(900, 9)
+    rng = random.Random(4)
+    wrong = [i for i in range(900) if not y[i]][::20]
+    given = y.copy()
+    given[wrong] = 1
+    model = A.fit(x, given, A.Machine())
+    got = A.score_texts([x[i] for i in wrong] + [example(rng, False) for _ in range(300)], model, A.Machine()) >= A.Machine().threshold
+    assert got.mean() < 0.02
+
+
+def test_long_labelled_texts_are_sampled_not_left_out(spark):
+    x, y = data(60, 6)
+    x[0], y[0] = BAD[0].format("Here") + " Fine." * 30000, 1
+    docs = spark.createDataFrame(list(enumerate(x)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, flagged int")
+    assert A.train(docs, "doc_id", "text", labels, "doc_id", "flagged", A.Machine(passages_per_text=5)) is not None
