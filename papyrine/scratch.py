@@ -20,10 +20,13 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where the setting is absent (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is absent, a temporary folder in local mode, an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="papyrine-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -53,7 +56,16 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table made by ``materialize`` that a later one replaces; nothing may read it any more."""
+    path = table.__dict__.pop("_written_to", None)
+    if path:
+        _remove(table.sparkSession, path)
 
 
 def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
