@@ -8,12 +8,13 @@ with them, until no further merge occurs. Spellings with initials only name whoe
 all profiles they fit, and never merge two persons; neither do titles whose end is cut off.
 
 Given names are told from family names by the corpus (which words stand before a middle initial or behind a comma), and
-nicknames are taken from a fixed list and learned: a given name that shares its family names with another far beyond
+nicknames are taken from a general list and learned: a given name that shares its family names with another far beyond
 chance is the same person's.
 
 Defined results
 * Null, empty and blank entries are no names; repeated rows count once; a name that matches nothing gives no pair.
-* Two frequent words or family names that differ by one letter are different; a rare one is taken for a slip.
+* Two words or family names that differ by one letter are different where both are frequent. One is taken for a slip where it is
+  met in at most 2 spellings (a given name: 4), or a twentieth as often as the other.
 * Statistics for nicknames count all family names. Under those with more than 8 given names, names meet by chance; a nickname
   must share twice as many family names with its full name as it shares of these with any other one.
 * All pairs of spellings of one person, group or journal are returned.
@@ -24,8 +25,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import count, product
+from collections.abc import Iterable, Iterator
+from itertools import product, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,20 +34,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.operators.components import components
-from papyrine.scratch import counted, materialize, tidy
+from papyrine.scratch import counted, discard, materialize
 
-# Given names and their usual short forms.
+# Common given names and their usual short forms in several languages; further ones are learned from the corpus.
 NICKNAMES = {
-    "abdulrahman": "abdul abdou", "agnieszka": "aga agnes", "aleksandra": "ola sasha", "alexander": "alex sandy sasha xander", "anastasia": "nastya ana",
-    "benjamin": "ben benny", "bogdan": "bodya", "chukwuemeka": "emeka", "dmitri": "dima mitya", "dolores": "lola", "edward": "ed eddie ned ted",
-    "elizabeth": "liz beth betty eliza lizzie", "fatimah": "fatima", "francisco": "paco pancho", "frederick": "fred freddie", "friederike": "rike",
-    "gabriela": "gabi gaby", "giuseppe": "beppe peppe", "hiroshi": "hiro", "ignacio": "nacho", "ileana": "ile", "ingrid": "inga", "jennifer": "jen jenny",
-    "johannes": "hannes hans", "jose": "pepe", "katherine": "kate kathy katie", "konstantinos": "kostas", "kwabena": "kobby", "lodovica": "vica lodo",
-    "margaret": "maggie peggy meg", "maximilian": "max", "mehmet": "memo", "michael": "mike mick mickey", "nathaniel": "nate nat", "oluwaseun": "seun",
-    "patrick": "paddy pat", "priyanka": "priya", "rajendra": "raj", "rebecca": "becky becca", "richard": "dick rick rich", "robert": "bob rob bobby",
-    "susannah": "sue susie", "thandiwe": "thandi", "theodore": "theo ted", "tomoko": "tomo", "vasiliki": "vaso", "victoria": "vicky tori",
-    "wilhelmina": "mina", "william": "will bill billy", "yekaterina": "katya", "thomas": "tom", "james": "jim jimmy", "john": "jack johnny",
-    "charles": "charlie chuck", "anthony": "tony", "daniel": "dan danny", "joseph": "joe", "samuel": "sam", "matthew": "matt", "christopher": "chris",
+    "alexander": "alex sandy sasha", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "charles": "charlie chuck",
+    "christopher": "chris kit", "daniel": "dan danny", "david": "dave davy", "donald": "don", "edward": "ed eddie ned ted", "francis": "frank",
+    "frederick": "fred freddie", "gerald": "gerry", "gregory": "greg", "henry": "harry hank", "james": "jim jimmy", "jeffrey": "jeff",
+    "john": "jack johnny", "joseph": "joe", "joshua": "josh", "kenneth": "ken", "lawrence": "larry", "leonard": "len lenny", "matthew": "matt",
+    "michael": "mike mick mickey", "nathaniel": "nat nate", "nicholas": "nick", "patrick": "paddy pat", "peter": "pete", "philip": "phil",
+    "raymond": "ray", "richard": "dick rick rich", "robert": "bob bobby rob", "ronald": "ron", "samuel": "sam", "stephen": "steve",
+    "theodore": "ted theo", "thomas": "tom tommy", "timothy": "tim", "walter": "walt wally", "william": "bill billy will",
+    "amanda": "mandy", "barbara": "barb", "catherine": "cathy", "christine": "chris chrissie", "deborah": "debbie", "dorothy": "dot dolly",
+    "eleanor": "ellie nell", "elizabeth": "beth betty eliza liz lizzie", "jacqueline": "jackie", "jennifer": "jen jenny", "judith": "judy",
+    "katherine": "kate kathy katie", "kimberly": "kim", "margaret": "maggie meg peggy", "mary": "molly polly", "pamela": "pam", "patricia": "patty tricia",
+    "penelope": "penny", "rebecca": "becca becky", "sarah": "sally", "susan": "sue susie", "susannah": "sue susie", "victoria": "tori vicky",
+    "concepcion": "concha", "dolores": "lola", "enrique": "quique", "francisco": "paco pancho", "guadalupe": "lupe", "ignacio": "nacho", "jose": "pepe",
+    "manuel": "manolo", "gabriela": "gabi gaby", "giovanni": "gianni", "giuseppe": "beppe peppe", "luigi": "gigi", "johannes": "hannes hans",
+    "maximilian": "max", "anastasia": "nastya", "dmitri": "dima mitya", "ivan": "vanya", "mikhail": "misha", "natalia": "natasha", "nikolai": "kolya",
+    "tatiana": "tanya", "yekaterina": "katya", "agnieszka": "aga", "aleksandra": "ola", "konstantinos": "kostas",
 }
 # Words of titles and names that carry no identity.
 STOP = set("of and the for on in und et de la le del der die des du y e".split())
@@ -120,7 +126,30 @@ def is_group(name: str) -> bool:
     return bool(re.fullmatch(r"[^\W\d_]{4,}\.? [A-Z]{3,5}", name)) and not name.isupper()
 
 
-def parse_person(name: str, given: frozenset[str] | dict) -> tuple[str, str, str, str] | None:
+class Known:
+    """Words known as given names, and those within one slip of one of them."""
+
+    def __init__(self, words: Iterable[str], near: Iterable[str] | None = None):
+        self.words = frozenset(words)
+        self.near = None if near is None else frozenset(near)
+        self.forms = {s for g in self.words if len(g) > 3 for s in shorter(g)} if near is None else None
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.words
+
+    def level(self, word: str) -> int:
+        if word in self.words:
+            return 2
+        return int(word in self.near if self.forms is None else any(s in self.forms for s in shorter(word)))
+
+
+def asked_words(name: str) -> set[str]:
+    """The words of a name that ``parse_person`` may look up."""
+    words = clean(name).split(" ")
+    return {plain(words[0]), plain(words[-1]), plain("".join(words[:2])), plain("".join(words[-2:]))} - {""}
+
+
+def parse_person(name: str, given: Known) -> tuple[str, str, str, str] | None:
     """``(family, given or '', initial, middles)``; an empty given marks a spelling with initials only."""
     n = clean(name)
     if not n:
@@ -148,8 +177,7 @@ def parse_person(name: str, given: frozenset[str] | dict) -> tuple[str, str, str
         return _finish(words[:k], words[k:])
     # two or more spelled words: the corpus tells which end is the given name
     first, last = plain(words[0]), plain(words[-1])
-    known = lambda w: 2 if w in given else 1 if any(s in given_slips(given) for s in shorter(w)) else 0
-    if known(last) > known(first) or first in PARTICLES:
+    if given.level(last) > given.level(first) or first in PARTICLES:
         k = len(words) - 1
         if k >= 2 and plain(words[k - 1] + words[k]) in given:
             k -= 1
@@ -162,17 +190,6 @@ def parse_person(name: str, given: frozenset[str] | dict) -> tuple[str, str, str
     return _finish(words[k:], words[:k])
 
 
-_slips: dict[int, set[str]] = {}
-
-
-def given_slips(given) -> set[str]:
-    key = id(given)
-    if key not in _slips:
-        _slips.clear()
-        _slips[key] = {s for g in given if len(g) > 3 for s in shorter(g)}
-    return _slips[key]
-
-
 def _finish(family: list[str], front: list[str]) -> tuple[str, str, str, str] | None:
     core = [w for w in family if plain(w) not in PARTICLES] or family
     fam = plain(re.sub(r"^(?:al|el)-", "", " ".join(core), flags=re.I))
@@ -264,31 +281,39 @@ def title_keys(slots: list[list[str]]) -> set[str]:
     return keys
 
 
-def persons_match(a, b, count: dict) -> bool:
+def rare(n: int, other: int, least: int) -> bool:
+    """Whether a word is so much rarer than the other that it can be a slip of it: met at most ``least`` times, or a small part as often."""
+    return min(n, other) <= max(least, SLIP_SHARE * max(n, other))
+
+
+def persons_match(a, b) -> bool:
     ma, mb = {m for m in a["middles"] if not m.startswith("+")}, {m for m in b["middles"] if not m.startswith("+")}
     if ma and mb and not ma & mb:
         return False
-    fa, fb, ga, gb = set(a["slots"][0]), set(b["slots"][0]), set(a["slots"][1]), set(b["slots"][1])
-    if fa & fb:
-        return bool(ga & gb) or any(close(x, y) and max(len(x), len(y)) > 2 and not (count.get(x, 0) > 4 and count.get(y, 0) > 4) for x in ga for y in gb)
-    if ga & gb:
-        return any(len(x) > 4 and close(x, y) and min(count.get(x, 0), count.get(y, 0)) <= 2 for x in fa for y in fb)
+    (fa, ga), (fb, gb) = a["slots"], b["slots"]
+    na, nb = a["freq"], b["freq"]
+    if not set(fa).isdisjoint(fb):
+        return not set(ga).isdisjoint(gb) or any(close(x, y) and max(len(x), len(y)) > 2 and rare(na.get(x, 0), nb.get(y, 0), 4) for x in ga for y in gb)
+    if not set(ga).isdisjoint(gb):
+        return any(len(x) > 4 and close(x, y) and rare(na.get(x, 0), nb.get(y, 0), 2) for x in fa for y in fb)
     return False
 
 
-def titles_match(a, b, count: dict) -> bool:
+def titles_match(a, b) -> bool:
     sa, sb = a["slots"], b["slots"]
     if len(sa) != len(sb):
         return False
+    na, nb = a["freq"], b["freq"]
     slips = 0
     for x, y in zip(sa, sb):
-        if set(x) & set(y) or any(abbreviates(p, q) for p in x for q in y):
+        if x == y or not set(x).isdisjoint(y) or any(abbreviates(p, q) for p in x for q in y):
             continue
-        if any(min(count.get(p, 0), count.get(q, 0)) <= 2 and _slipped(p, q) for p in x for q in y):
+        if any(rare(na.get(p, 0), nb.get(q, 0), 2) and _slipped(p, q) for p in x for q in y):
             slips += 1
-            continue
+            if slips <= 1:
+                continue
         return False
-    return slips <= 1
+    return True
 
 
 def _slipped(a: str, b: str) -> bool:
@@ -300,44 +325,56 @@ def _slipped(a: str, b: str) -> bool:
     return len(a) > 3 and any(close(a, b[:n]) for n in (len(a) - 1, len(a), len(a) + 1))
 
 
-PROFILE = "kind string, pid bigint, slots array<array<string>>, middles array<string>"
+SLIP_SHARE = 0.05
+PROFILE = "kind string, pid bigint, slots array<array<string>>, middles array<string>, freq map<string,bigint>"
 
 
 def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         keys = [person_keys(s) if k == "person" else {k + x for x in title_keys(s)} for k, s in zip(f["kind"], f["slots"])]
-        f = f.assign(key=[sorted(k) for k in keys])
-        yield f.explode("key")
-
-
-def _match(sent):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = sent.value
-        held: list[dict] = []
-
-        def pairs(rows: list[dict]) -> list[tuple[int, int]]:
-            out = []
-            for i, a in enumerate(rows):
-                for b in rows[:i]:
-                    if a["pid"] != b["pid"] and (persons_match if a["kind"] == "person" else titles_match)(a, b, count):
-                        out.append((min(a["pid"], b["pid"]), max(a["pid"], b["pid"])))
-            return out
-
-        key = None
-        for f in frames:
-            found = []
-            for r in f.to_dict("records"):
-                if r["key"] != key:
-                    if len(held) > 1:
-                        found += pairs(held)
-                    held, key = [], r["key"]
-                held.append(r)
-            if found:
-                yield pd.DataFrame(sorted(set(found)), columns=["a", "b"])
-        if len(held) > 1 and (found := pairs(held)):
-            yield pd.DataFrame(sorted(set(found)), columns=["a", "b"])
-
-    return run
+        yield pd.DataFrame({"pid": np.repeat(f["pid"].to_numpy(np.int64), [len(k) for k in keys]), "key": [x for k in keys for x in sorted(k)]})
+
+
+def _linked(rows: list[dict]) -> list[tuple[int, int]]:
+    """Links that join the matching profiles of one block; those joined already are not compared again."""
+    root = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out = []
+    match = persons_match if rows[0]["kind"] == "person" else titles_match
+    mixed = len({r["own"] for r in rows}) > 1  # a block of two tiles: each tile has met itself elsewhere
+    for i, a in enumerate(rows):
+        for j in range(i):
+            b = rows[j]
+            if a["pid"] == b["pid"] or mixed and a["own"] == b["own"]:
+                continue
+            x, y = top(i), top(j)
+            if x != y and match(a, b):
+                root[max(x, y)] = min(x, y)
+                out.append((min(a["pid"], b["pid"]), max(a["pid"], b["pid"])))
+    return out
+
+
+def _match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links within each block of rows sorted by block."""
+    held: list[dict] = []
+    for f in frames:
+        found = []
+        f["freq"] = [dict(x) for x in f["freq"]]
+        f["slots"] = [[list(w) for w in x] for x in f["slots"]]
+        for r in f.to_dict("records"):
+            if held and r["block"] != held[0]["block"]:
+                found += _linked(held)
+                held = []
+            held.append(r)
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
+    if held and (found := _linked(held)):
+        yield pd.DataFrame(found, columns=["a", "b"])
 
 
 def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -367,50 +404,64 @@ def _closed(edges: DataFrame, links: int, in_one: int = 1_000_000) -> DataFrame:
     return edges.coalesce(1).mapInPandas(_grouped, "pid bigint, root bigint")
 
 
-def _merge(profiles: DataFrame, edges: DataFrame, links: int) -> tuple[DataFrame, DataFrame]:
-    """The merged profiles, and ``(pid, root)`` of those that went into them: all that are linked over any number of steps."""
-    roots = materialize(_closed(edges, links), "roots")
-    merged = profiles.join(roots, "pid").select("kind", "root", F.posexplode("slots").alias("at", "words"), "middles")
-    slots = merged.groupBy("kind", "root", "at").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"), F.array_distinct(F.flatten(F.collect_list("middles"))).alias("middles")
-    )
-    new = slots.groupBy("kind", "root").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]).alias("slots"), F.first("middles").alias("middles")
-    )
-    return new.select("kind", F.col("root").alias("pid"), "slots", "middles"), roots
+def _united(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of one profile each, united: alternatives per position, middle initials and counts of all."""
+    empty = F.first("slots")
+    united = rows.groupBy(F.col(by).alias("pid")).agg(
+        F.first("kind").alias("kind"), F.aggregate(F.collect_set("slots"), F.transform(empty, lambda x: F.array().cast("array<string>")), lambda a, x: F.zip_with(a, x, lambda p, q: F.array_union(p, q))).alias("slots"),
+        F.array_distinct(F.flatten(F.collect_set("middles"))).alias("middles"), F.flatten(F.collect_set(F.map_entries("freq"))).alias("freq"),
+    )
+    freq = F.map_from_entries(F.array_distinct("freq"))  # a word has one count
+    return united.select("kind", "pid", F.transform("slots", lambda x: F.array_sort(x)).alias("slots"), "middles", freq.alias("freq"))
 
 
-def _resolve(profiles: DataFrame, counts) -> tuple[DataFrame, DataFrame]:
-    """Merge and rematch until nothing changes: final profiles and ``(pid, root)`` over all rounds.
+def _blocks(profiles: DataFrame, keyed: DataFrame, tile: int) -> DataFrame:
+    """Profiles under every key they share with another one; a block of more than ``tile`` rows is met tile against tile."""
+    many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # lone rows need not move as wide rows
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    rows = keyed.join(many, "key").withColumn("own", F.pmod(F.xxhash64("pid"), tiles).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    block = F.when(F.col("n") <= tile, F.xxhash64("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.select("pid", "own", block.alias("block")).join(profiles, "pid")
+
+
+def _resolve(profiles: DataFrame, tile: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """Merge and rematch until nothing changes: final profiles and ``(pid, root)`` of all that were merged.
 
     Keys of profiles that did not change are kept; after the first round only blocks that hold a merged profile meet
-    again. Every round with a match leaves fewer profiles, so the rounds end.
+    again. Every round with a match leaves fewer profiles, so the rounds end. Each round is written; the profiles of the
+    round before are removed. The root of a group is its smallest id in every round, so all rounds' links closed give
+    the last roots.
     """
-    everyone = profiles.select("pid", F.col("pid").alias("root"))
-    keyed = materialize(profiles.mapInPandas(_keyed, PROFILE + ", key string"), "keyed")
-    blocks = keyed
-    for done in count(1):
-        many = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")  # lone rows need not move as wide rows
-        meeting = blocks.join(many, "key", "left_semi")
-        edges = meeting.repartition("key").sortWithinPartitions("key").mapInPandas(_match(counts), "a bigint, b bigint").distinct()
-        edges, found = counted(edges, "matches")
+    keyed = [materialize(profiles.mapInPandas(_keyed, "pid bigint, key string"), "keyed")]
+    blocks, gone = keyed[0], None
+    first = profiles
+    while True:
+        meeting = _blocks(profiles, blocks, tile).repartition("block").sortWithinPartitions("block", "pid")
+        edges, found = counted(meeting.mapInPandas(_match, "a bigint, b bigint"), "matches")
         if not found:
             break
-        new, roots = _merge(profiles, edges, found)
-        new = materialize(new, "merged")
-        profiles = profiles.join(roots.select("pid"), "pid", "left_anti").select(new.columns).unionByName(new)
-        step = roots.select(F.col("pid").alias("root"), F.col("root").alias("next"))
-        everyone = everyone.join(step, "root", "left").select("pid", F.coalesce("next", "root").alias("root"))
-        fresh = materialize(new.mapInPandas(_keyed, PROFILE + ", key string"), "fresh")
-        keyed = keyed.join(roots.select("pid"), "pid", "left_anti").select(fresh.columns).unionByName(fresh)
-        if done % 4 == 0:  # plans stay short
-            profiles, everyone, keyed = materialize(profiles, "profiles"), materialize(everyone, "everyone"), materialize(keyed, "keyed")
-        blocks = keyed.join(fresh.select("key").distinct(), "key", "left_semi")
-        tidy(profiles.sparkSession)
-    return materialize(profiles, "profiles"), materialize(everyone, "everyone")
-
-
-def _given_words(spellings: DataFrame, most: int = 20_000) -> frozenset[str]:
+        roots = materialize(_closed(edges, found), "roots")
+        gone = roots if gone is None else gone.unionByName(roots)
+        before = profiles
+        profiles = materialize(_united(profiles.join(roots, "pid", "left").withColumn("to", F.coalesce("root", "pid")), "to"), "profiles")
+        if before is not first:
+            discard(before)
+        heads = roots.select(F.col("root").alias("pid")).distinct()
+        fresh = materialize(profiles.join(heads, "pid", "left_semi").mapInPandas(_keyed, "pid bigint, key string"), "fresh")
+        old = [k.join(roots.select("pid"), "pid", "left_anti") for k in keyed]
+        touched = fresh.select("key").distinct()
+        blocks = fresh
+        for k in old:
+            blocks = blocks.unionByName(k.join(touched, "key", "left_semi"))
+        keyed = [*old, fresh]
+    if gone is None:
+        return profiles, profiles.select("pid", F.col("pid").alias("root")).limit(0)
+    total = gone.count()
+    return profiles, materialize(_closed(gone.select(F.col("pid").alias("a"), F.col("root").alias("b")), total), "everyone")
+
+
+def _given_words(spellings: DataFrame) -> tuple[DataFrame, int]:
     """Words that stand where only a given name stands, behind a comma or before a middle initial, with several families."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -428,12 +479,29 @@ def _given_words(spellings: DataFrame, most: int = 20_000) -> frozenset[str]:
             yield pd.DataFrame(out, columns=["g", "f"])
 
     seen = spellings.where("kind = 'author'").select("name").mapInPandas(run, "g string, f string").distinct()
-    rows = seen.groupBy("g").agg(F.countDistinct("f").alias("n")).where("n >= 3").orderBy(F.desc("n"), "g").limit(most).collect()
-    return frozenset(r["g"] for r in rows) | frozenset(NICKNAMES) | frozenset(FORMAL)
+    return counted(seen.groupBy("g").agg(F.count("*").alias("n")).where("n >= 3").select("g"), "given")
 
 
-def _aliases(people: DataFrame, most: int = 20_000) -> dict[str, str]:
-    """Short or slipped given names and the given name they stand for, learned from shared family names."""
+def _with_known(names: DataFrame, given: DataFrame) -> DataFrame:
+    """The names with ``known`` and ``near``: those of their words that are given names, or within one slip of one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(i, w, s) for i, n in zip(f["nid"], f["name"]) for w in asked_words(n) for s in shorter(w)]
+            yield pd.DataFrame(out, columns=["nid", "w", "form"])
+
+    def forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(g, s) for g in f["g"] for s in (shorter(g) if len(g) > 3 else {g})], columns=["g", "form"])
+
+    asked = names.where("kind = 'author'").mapInPandas(run, "nid bigint, w string, form string")
+    hit = asked.join(given.mapInPandas(forms, "g string, form string"), "form")
+    hit = hit.groupBy("nid").agg(F.collect_set(F.when(F.col("w") == F.col("g"), F.col("w"))).alias("known"), F.collect_set(F.when(F.length("g") > 3, F.col("w"))).alias("near"))
+    return names.join(hit, "nid", "left")
+
+
+def _aliases(people: DataFrame) -> DataFrame:
+    """``(given, stands_for)``: short or slipped given names and the given name they stand for, learned from shared family names."""
     seen = people.where("given <> ''").select("family", "given").distinct()
     total = seen.groupBy("given").agg(F.count("*").alias("families"))
     seen = seen.join(seen.groupBy("family").agg(F.count("*").alias("givens")), "family").join(total, "given")
@@ -450,20 +518,46 @@ def _aliases(people: DataFrame, most: int = 20_000) -> dict[str, str]:
     others = F.max("common").over(Window.partitionBy("given").orderBy(F.desc("shared"), "full").rowsBetween(1, Window.unboundedFollowing))
     first = F.row_number().over(Window.partitionBy("given").orderBy(F.desc("shared"), "full"))
     scored = both.withColumn("others", F.coalesce(others, F.lit(0))).withColumn("first", first).where((F.col("first") == 1) & (F.col("shared") >= least))
-    scored = scored.where("shared >= 2 * others").select(F.col("given").alias("short"), "full", "shared")
-    rows = scored.orderBy(F.desc("shared"), "short").limit(most).collect()
-    return {r["short"]: r["full"] for r in rows}
+    return scored.where("shared >= 2 * others").select("given", F.col("full").alias("stands_for"))
 
 
-def _parsed(given):
+def _stands_for(learned: DataFrame, table: dict[str, str], in_one: int = 100_000) -> DataFrame:
+    """``(given, stands_for)`` with chains followed to their end; what is learned goes before the table.
+
+    Up to ``in_one`` learned names are followed on the driver, more by joins; the result is the same.
+    """
+    spark = learned.sparkSession
+    schema = "given string, stands_for string"
+    learned, n = counted(learned, "aliases")
+    if n <= in_one:
+        alias = {**table, **{r["given"]: r["stands_for"] for r in learned.collect()}}
+        for _ in range(len(alias)):
+            step = {k: alias.get(v, v) for k, v in alias.items()}
+            if step == alias or any(k == v for k, v in step.items()):
+                break
+            alias = step
+        return spark.createDataFrame(sorted(alias.items()), schema)
+    fixed = spark.createDataFrame(sorted(table.items()), schema)
+    alias = materialize(learned.unionByName(fixed.join(learned, "given", "left_anti")), "aliases")
+    while True:
+        to = alias.select(F.col("given").alias("stands_for"), F.col("stands_for").alias("next"))
+        step = materialize(alias.join(to, "stands_for", "left").select("given", F.coalesce("next", "stands_for").alias("stands_for"), F.col("next").isNotNull().alias("moved")), "aliases")
+        if not step.where("moved").limit(1).count() or step.where("given = stands_for").limit(1).count():
+            return alias
+        alias = step.drop("moved")
+
+
+def _parsed(sent):
+    """Every name as the persons or titles it may be; ``sent`` is a broadcast ``Known``, or None where each row brings its own."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = given.value
         for f in frames:
             out = []
-            for nid, kind, name in zip(f["nid"], f["kind"], f["name"]):
+            own = zip(f["known"], f["near"]) if sent is None else repeat((None, None))
+            for nid, kind, name, (known, near) in zip(f["nid"], f["kind"], f["name"], own):
                 person = None
                 if kind == "author" and not is_group(clean(name)):
-                    person = parse_person(name, known)
+                    person = parse_person(name, sent.value if sent else Known(() if known is None else known, () if near is None else near))
                 if person:
                     out.append((nid, "person", *person, None, False))
                 else:
@@ -480,54 +574,62 @@ def _parsed(given):
 PARSED = "nid bigint, kind string, family string, given string, initial string, middle string, words array<string>, cut boolean"
 
 
-def variant_pairs(spellings: DataFrame) -> DataFrame:
-    """``(kind, name_a, name_b)`` from ``(kind, name)`` with kind 'author' or 'journal'; names in code point order."""
+def _profile_rows(parsed: DataFrame, alias: DataFrame) -> DataFrame:
+    """One row per parsed name that can found a profile, with the profile's id and the counts of its words over all names."""
+    rows = parsed.where("(kind = 'person' and given <> '') or (kind <> 'person' and not cut)").join(alias, "given", "left")
+    formal = F.coalesce("stands_for", "given")
+    person = F.col("kind") == "person"
+    rows = rows.select(
+        "nid", "kind", F.when(person, F.xxhash64("kind", "family", formal)).otherwise(F.xxhash64("kind", "words")).alias("pid"),
+        F.when(person, F.array(F.array("family"), F.array_distinct(F.array("given", formal)))).otherwise(F.transform("words", lambda w: F.array(w))).alias("slots"),
+        F.when(person, F.filter(F.split(F.regexp_replace("middle", r"\+", ",+"), ","), lambda m: m != "")).otherwise(F.array().cast("array<string>")).alias("middles"),
+        F.when(person, F.array("family", "given")).otherwise(F.array_distinct("words")).alias("own"),
+    )
+    rows = materialize(rows, "rows")
+    counts = rows.select("nid", F.explode("own").alias("w")).unionByName(
+        parsed.where("(kind = 'person' and given = '') or (kind <> 'person' and cut)").select("nid", F.explode(F.when(F.col("kind") == "person", F.array("family")).otherwise(F.array_distinct("words"))).alias("w"))
+    ).groupBy("w").agg(F.count("*").alias("n"))
+    words = rows.select("pid", F.explode(F.flatten("slots")).alias("w")).distinct().join(counts, "w")
+    freq = words.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("freq"))
+    return materialize(rows.drop("own").join(freq, "pid"), "rows")
+
+
+def members(spellings: DataFrame, in_one: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """``(nid, kind, name)`` of all spellings, and ``(nid, root)``: the persons, groups and journals each one may name."""
     spark = spellings.sparkSession
     names = spellings.where("name is not null and trim(name) <> ''").select("kind", "name").distinct()
     names = materialize(names.withColumn("nid", F.xxhash64("kind", "name")), "names")
-    given = spark.sparkContext.broadcast(_given_words(names))  # at most 20 000 words
-    parsed = materialize(names.select("nid", "kind", "name").mapInPandas(_parsed(given), PARSED), "parsed")
+    given, n = _given_words(names)
+    listed = sorted({*NICKNAMES, *FORMAL})
+    if n <= in_one:  # given names of at most so many words are sent to all tasks; of more, each name gets its own by a join
+        read = names.mapInPandas(_parsed(spark.sparkContext.broadcast(Known([*listed, *(r["g"] for r in given.collect())]))), PARSED)
+    else:
+        all_given = given.unionByName(spark.createDataFrame([(g,) for g in listed], "g string")).distinct()
+        read = _with_known(names, all_given).mapInPandas(_parsed(None), PARSED)
+    parsed = materialize(read, "parsed")
     people = parsed.where("kind = 'person'")
-    learned = _aliases(people)
-    alias = {**FORMAL, **learned}
-    for k in list(alias):  # chains end at the formal name
-        seen = {k}
-        while alias[k] in alias and alias[k] not in seen:
-            seen.add(alias[k])
-            alias[k] = alias[alias[k]]
-    short = spark.createDataFrame(sorted(alias.items()), "given string, stands_for string")
-    people = people.join(F.broadcast(short), "given", "left").withColumn("formal", F.coalesce("stands_for", "given"))  # at most 20 000 short names
-    people = materialize(people.select("nid", "family", "given", "formal", "initial", "middle"), "people")
-
-    # how often words and names occur over different spellings; only frequent ones matter, and only rare ones are slips
-    words = parsed.where("words is not null").select(F.explode(F.array_distinct("words")).alias("w"))
-    used = words.unionByName(people.select(F.col("family").alias("w"))).unionByName(people.where("given <> ''").select(F.col("given").alias("w")))
-    rows = used.groupBy("w").count().where("count > 2").orderBy(F.desc("count"), "w").limit(500_000).collect()
-    counts = spark.sparkContext.broadcast({r["w"]: r["count"] for r in rows})
-
-    full = people.where("given <> ''")
-    start = full.groupBy("family", "formal").agg(F.min("nid").alias("pid"), F.collect_set("middle").alias("middles"), F.collect_set("given").alias("givens"))
-    start = materialize(start, "start")
-    profiles = start.select(
-        F.lit("person").alias("kind"), "pid", F.array(F.array("family"), F.array_union("givens", F.array("formal"))).alias("slots"),
-        F.filter(F.flatten(F.transform("middles", lambda m: F.split(F.regexp_replace(m, r"\+", ",+"), ","))), lambda m: m != "").alias("middles"),
-    )
-    titles = parsed.where("words is not null and not cut").select("kind", "words").distinct().withColumn("pid", F.xxhash64("kind", "words"))
-    titles = materialize(titles, "titles")
-    profiles = profiles.unionByName(titles.select("kind", "pid", F.transform("words", lambda w: F.array(w)).alias("slots"), F.array().cast("array<string>").alias("middles")))
-    final, roots = _resolve(materialize(profiles, "profiles"), counts)
-
-    own = full.join(start.select("family", "formal", "pid"), ["family", "formal"]).select("nid", "pid")
-    own = own.unionByName(parsed.where("words is not null and not cut").join(titles, ["kind", "words"]).select("nid", "pid"))
-    placed = own.join(roots, "pid").select("nid", "root").distinct()
+    alias = _stands_for(_aliases(people), FORMAL, in_one)
+    rows = _profile_rows(parsed, alias)
+    start = materialize(_united(rows, "pid"), "profiles")
+    final, roots = _resolve(start)
+
+    placed = rows.select("nid", "pid").join(roots, "pid", "left").select("nid", F.coalesce("root", "pid").alias("root")).distinct()
+    placed = materialize(placed, "placed")
     # names in two parts stand under both orders, so under two groups at most; their groups are one
     ends = placed.groupBy("nid").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
     ends, found = counted(ends.select("a", "b").distinct(), "ends")
-    one = materialize(_closed(ends, found).select(F.col("pid").alias("root"), F.col("root").alias("component")), "turned")
-    placed = placed.join(one, "root", "left").select("nid", F.coalesce("component", "root").alias("root")).distinct()
-    cut = _attach_cut(parsed.where("words is not null and cut"), final).join(one, "root", "left").select("nid", F.coalesce("component", "root").alias("root"))
-    member = placed.unionByName(_attach(people.where("given = ''"), final)).unionByName(cut).distinct()
-    member = materialize(member, "members")
+    cut = materialize(_attach_cut(parsed.where("kind <> 'person' and cut"), final), "cut")
+    titles = placed.unionByName(cut)
+    if found:
+        one = materialize(_closed(ends, found).select(F.col("pid").alias("root"), F.col("root").alias("component")), "turned")
+        titles = titles.join(one, "root", "left").select("nid", F.coalesce("component", "root").alias("root"))
+    initials = materialize(_attach(people.where("given = ''"), final), "initials")
+    return names, materialize(titles.unionByName(initials).distinct(), "members")
+
+
+def variant_pairs(spellings: DataFrame) -> DataFrame:
+    """``(kind, name_a, name_b)`` from ``(kind, name)`` with kind 'author' or 'journal'; names in code point order."""
+    names, member = members(spellings)
     left = member.select("root", F.col("nid").alias("a"))
     met = left.join(member.select("root", F.col("nid").alias("b")), "root").where("a < b").select("a", "b").distinct()
     x = names.select(F.col("nid").alias("a"), "kind", F.col("name").alias("x"))
@@ -536,6 +638,13 @@ def variant_pairs(spellings: DataFrame) -> DataFrame:
     return both.select("kind", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
 
 
+def classes(spellings: DataFrame) -> DataFrame:
+    """``(kind, name, entity, spellings)``: every spelling under each person, group or journal it may name, with their number of spellings."""
+    names, member = members(spellings)
+    sizes = member.groupBy("root").agg(F.count("*").alias("spellings"))
+    return member.join(sizes, "root").join(names, "nid").select("kind", "name", F.col("root").alias("entity"), "spellings")
+
+
 def _attach(initials: DataFrame, final: DataFrame) -> DataFrame:
     """``(nid, root)``: spellings with initials only, at every person they fit; else among themselves."""
     persons = final.where("kind = 'person'").select(F.col("pid").alias("root"), F.col("slots")[0].alias("families"), F.col("slots")[1].alias("givens"), "middles")

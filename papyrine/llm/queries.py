@@ -34,6 +34,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.variant_pairs(_spellings(spark, folder))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling under each person, group or journal it may name."""
+    return names.classes(_spellings(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     ends = sentences.sentence_ends([
         ("section", table(spark, folder, "sections"), "section_id", "content"), ("abstract", table(spark, folder, "canonical_docs"), "canon_id", "abstract"),

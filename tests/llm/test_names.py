@@ -2,7 +2,7 @@ import pytest
 
 from papyrine.llm import names as N
 
-GIVEN = frozenset({"katherine", "robert", "jeanbaptiste", "dolores", "mehmet"}) | frozenset(N.FORMAL)
+GIVEN = N.Known({"katherine", "robert", "jeanbaptiste", "dolores", "mehmet", *N.FORMAL})
 
 
 @pytest.mark.parametrize(
@@ -65,13 +65,16 @@ def test_empty(spark):
     assert pairs(spark, [None, ""]) == set()
 
 
-def resolved(spark, titles):
+def resolved(spark, titles, tile=2_000):
     """Groups of the numbers of titles, each title a profile under its number."""
-    rows = [("journal", pid, [[w] for w in t.split()], []) for pid, t in titles.items()]
-    _, roots = N._resolve(spark.createDataFrame(rows, N.PROFILE), spark.sparkContext.broadcast({}))
+    rows = [("journal", pid, [[w] for w in t.split()], [], {w: 1 for w in t.split()}) for pid, t in titles.items()]
+    profiles, roots = N._resolve(spark.createDataFrame(rows, N.PROFILE), tile)
     groups = {}
     for r in roots.collect():
         groups.setdefault(r["root"], set()).add(r["pid"])
+    for pid in set(titles) - {p for g in groups.values() for p in g}:
+        groups[pid] = {pid}
+    assert {r["pid"] for r in profiles.collect()} == set(groups) == {min(g) for g in groups.values()}
     return sorted(sorted(g) for g in groups.values())
 
 
@@ -114,4 +117,35 @@ def test_nicknames_under_common_family_names(spark):
     rows += [(f"big{f}", g) for f in range(4) for g in ("zusanna", "marta", "ivo", *(f"g{f}x{i}" for i in range(9)))]
     rows += [(f"few{f}", g) for f in range(3) for g in ("lulu", "lucasta")] + [(f"lone{f}", "lucasta") for f in range(5)]
     people = spark.createDataFrame(rows, "family string, given string")
-    assert N._aliases(people) == {"zuzu": "zusanna", "lulu": "lucasta"}
+    assert {tuple(r) for r in N._aliases(people).collect()} == {("zuzu", "zusanna"), ("lulu", "lucasta")}
+
+
+@pytest.mark.parametrize("tile", [1, 2, 5])
+def test_tiles_find_what_one_block_finds(spark, tile):
+    titles = {k: f"quarterly {w} pediatrics" for k, w in enumerate(["neurology", "neurologi", "neuroloigy", "nephrology", "nephrologi", "nematology", "neurol", "nephrol"])}
+    assert resolved(spark, titles, tile) == resolved(spark, titles)
+
+
+@pytest.mark.parametrize("in_one", [0, 100])
+def test_chains_of_short_names(spark, in_one):
+    learned = spark.createDataFrame([("bobs", "bob"), ("zuzu", "zusa"), ("zusa", "zusanna")], "given string, stands_for string")
+    got = {tuple(r) for r in N._stands_for(learned, {"bob": "robert", "zuzu": "other"}, in_one).collect()}
+    assert got == {("bob", "robert"), ("bobs", "robert"), ("zuzu", "zusanna"), ("zusa", "zusanna")}
+
+
+def test_words_looked_up_by_a_join(spark):
+    """Beyond the bound each name gets its known words by a join; the result is the same."""
+    authors = [f"Marta X. Family{i}" for i in "abcd"] + ["Familya Marta", "Familyb Mrata", "Marat Familyc", "Katherine Familyd", "Familyd Kathy", "Lone Wolf", "X", ""]
+    df = spark.createDataFrame([("author", a) for a in authors], "kind string, name string")
+    found = [{(r["nid"], r["root"]) for r in N.members(df, n)[1].collect()} for n in (0, 100)]
+    assert found[0] == found[1]
+
+
+def test_rare_words():
+    assert N.rare(2, 3, 2) and not N.rare(3, 4, 2) and N.rare(50, 1000, 2) and not N.rare(51, 1000, 2)
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([("author", "Robert Dukugavall"), ("author", "Bob Dukugavall"), ("author", "Ivo Xanten"), ("journal", None)], "kind string, name string")
+    got = {r["name"]: (r["entity"], r["spellings"]) for r in N.classes(df).collect()}
+    assert got["Robert Dukugavall"] == got["Bob Dukugavall"] and got["Ivo Xanten"][1] == 1 and len(got) == 3
