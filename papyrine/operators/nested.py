@@ -10,8 +10,8 @@ Defined results
   give no row but keep their position. An object around the top list that is itself no section is skipped.
 * The list of children may be spelled in any letter case and with or without separators; of several spellings in one
   object the first non-empty one counts.
-* Text that is not valid JSON (also when nested too deeply to parse) and null give no section rows; the record's
-  tables are still emitted.
+* Text that is not valid JSON and null give no section rows; the record's tables are still emitted. Depth is not bounded:
+  what the standard parser gives up on is parsed with a stack of its own.
 * A table's parent is the only section of its record with the same title, ignoring letter case and outer blanks; '' if
   its section is empty or no or several sections have that title.
 * Rows with a null id are skipped; repeated rows are emitted repeatedly; only the named columns are read.
@@ -23,6 +23,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,10 +49,74 @@ def role(key: str) -> str:
     return found
 
 
+BLANK = re.compile(r"[ \t\n\r]*")
+NUMBER = re.compile(r"(-?(?:0|[1-9]\d*))(\.\d+)?([eE][-+]?\d+)?", re.ASCII)
+WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+WORD = re.compile("|".join(WORDS))
+
+
+def parse_deep(text: str):
+    """JSON of any depth; raises ValueError where the text is not valid."""
+    at = BLANK.match(text, 0).end()
+    open_: list[tuple[dict | list, str | None]] = []  # containers around the place, with the key under which the next value goes
+    while True:
+        c = text[at : at + 1]
+        value, ready = None, True
+        if c == '"':
+            value, at = scanstring(text, at + 1)
+        elif c in ("{", "["):
+            value, ready = ({}, False) if c == "{" else ([], False)
+            at = BLANK.match(text, at + 1).end()
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                at, ready = at + 1, True
+            else:
+                open_.append((value, None))
+        elif m := WORD.match(text, at):
+            value, at = WORDS[m[0]], m.end()
+        elif m := NUMBER.match(text, at):
+            value, at = float(m[0]) if m[2] or m[3] else int(m[1]), m.end()
+        else:
+            raise ValueError("no value")
+        while ready:  # put the value into what is around it, and close what ends here
+            at = BLANK.match(text, at).end()
+            if not open_:
+                if at < len(text):
+                    raise ValueError("something behind the value")
+                return value
+            around, key = open_.pop()
+            if isinstance(around, list):
+                around.append(value)
+            else:
+                around[key] = value
+            c, at = text[at : at + 1], BLANK.match(text, at + 1).end()
+            if c == ",":
+                open_.append((around, None))
+                ready = False
+            elif c == ("]" if isinstance(around, list) else "}"):
+                value = around
+            else:
+                raise ValueError("no end of the container")
+        if isinstance(open_[-1][0], dict):
+            if text[at : at + 1] != '"':
+                raise ValueError("no key")
+            key, at = scanstring(text, at + 1)
+            at = BLANK.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("no colon")
+            at = BLANK.match(text, at + 1).end()
+            open_[-1] = (open_[-1][0], key)
+
+
 def _parsed(text: str):
     try:
         return json.loads(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        pass
+    except ValueError:
+        return None
+    try:
+        return parse_deep(text)
+    except ValueError:
         return None
 
 
@@ -92,8 +157,41 @@ def visit(entries: list) -> Iterator[tuple[str, str, dict, int]]:
                 items, parent, at, depth = children, path, 0, depth + 1
 
 
+def dump_deep(value) -> str:
+    """JSON text of a value of any depth, as ``json.dumps`` writes it."""
+    out: list[str] = []
+    todo: list = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Written):
+            out.append(v)
+        elif isinstance(v, dict | list):
+            inner: list = [_Written("{" if isinstance(v, dict) else "[")]
+            for n, x in enumerate(v.items() if isinstance(v, dict) else v):
+                if n:
+                    inner.append(_Written(", "))
+                if isinstance(v, dict):
+                    inner.append(_Written(json.dumps(x[0], ensure_ascii=False) + ": "))
+                    x = x[1]
+                inner.append(x)
+            inner.append(_Written("}" if isinstance(v, dict) else "]"))
+            todo += reversed(inner)
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Written(str):
+    """Text that is part of the result already."""
+
+
 def _text(value) -> str | None:
-    return value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str) or value is None:
+        return value
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return dump_deep(value)
 
 
 def emit_record(sections: str | None, tables: list | None, payload: bool = True) -> Iterator[tuple[str, str, str, str | None]]:
@@ -132,19 +230,25 @@ def emit_record(sections: str | None, tables: list | None, payload: bool = True)
         yield "table", str(at), parent, body
 
 
-def _emit(payload: bool):
+NODES = pa.schema([("tag", pa.string()), ("id", pa.int64()), ("path", pa.string()), ("parent", pa.string()), ("payload", pa.string())])
+
+
+def _emit(payload: bool, most: int = 1 << 23):
+    """Rows leave in batches of about ``most`` characters, so that a deep record does not fill the memory."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                b = whole.slice(s, 500)
-                ids, sections, tables = (b.column(i).to_pylist() for i in range(3))
-                rows = [(r[0], i, r[1], r[2], r[3]) for i, x, t in zip(ids, sections, tables) for r in emit_record(x, t, payload)]
-                if rows:
-                    tag, key, path, parent, body = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tag, pa.string()), pa.array(key, pa.int64()), pa.array(path, pa.string()), pa.array(parent, pa.string()), pa.array(body, pa.string())],
-                        ["tag", "id", "path", "parent", "payload"],
-                    )
+        for b in batches:
+            rows, size = [], 0
+            for i in range(b.num_rows):
+                key = b.column(0)[i].as_py()
+                for tag, path, parent, body in emit_record(b.column(1)[i].as_py(), b.column(2)[i].as_py(), payload):
+                    rows.append((tag, key, path, parent, body))
+                    size += 40 + 2 * len(path) + len(body or "")
+                    if size > most:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), NODES)], schema=NODES)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), NODES)], schema=NODES)
 
     return run
 

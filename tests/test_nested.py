@@ -1,5 +1,9 @@
 import json
 
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
 from papyrine.operators import nested
 
 
@@ -55,3 +59,36 @@ def test_typed_tables(spark):
 
 def test_empty(spark):
     assert nested.flatten(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [3, 1_100, 5_000, 50_000])
+def test_any_depth(depth):
+    text = '{"sections": ' + '[{"title": "t", "subsections": ' * depth + "[]" + "}]" * depth + "}"
+    nodes = nested.visit(nested.top_list(text))
+    n = longest = 0
+    for path, _, _, d in nodes:
+        n, longest = n + 1, max(longest, d)
+        if n == 6_000:  # the paths of all nodes grow with the square of the depth
+            break
+    assert n == longest == min(depth, 6_000)
+
+
+def test_deep_values_beside_the_children():
+    deep = "[" * 30_000 + "1" + "]" * 30_000
+    rows = list(nested.emit_record('[{"title": "a", "note": ' + deep + '}, {"title": "b"}]', None))
+    assert [r[1] for r in rows] == ["0", "1"] and deep in rows[0][3]
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=30))
+def test_own_parser_agrees(value):
+    for text in (json.dumps(value), json.dumps(value, indent=2, ensure_ascii=False)):
+        assert nested.parse_deep(text) == json.loads(text) == value
+    assert nested.dump_deep(value) == json.dumps(value, ensure_ascii=False)
+
+
+@pytest.mark.parametrize("text", ["", "[", "[1", "[1,]", '{"a"}', '{"a":}', '{"a":1,}', "{1:2}", "[1] 2", "01", "tru", '"x', "[}", "{]", "-", "1.", ",", "nul"])
+def test_own_parser_refuses(text):
+    with pytest.raises(ValueError):
+        json.loads(text)
+    with pytest.raises(ValueError):
+        nested.parse_deep(text)
