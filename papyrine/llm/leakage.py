@@ -5,7 +5,7 @@ the corpus texts of an Arrow batch at once; a text whose seeds could cover enoug
 tiling: longest common runs are found by rolling hashes (Karp-Rabin), longest first, and marked so that no word is used
 twice, down to ``shortest`` words. Tiles that lie close together in the text form a stretch; altered words between two
 tiles of one stretch bridge them. The item leaked if its two best stretches cover at least ``cover`` of its words, in
-any order of the stretches. Where fewer than that are matched word for word, a second scan counts the texts that hold the
+any order of the stretches. Where fewer than that are matched word for word in tiles longer than the shortest, a second scan counts the texts that hold the
 runs of these stretches: a run met more often elsewhere than in texts that reproduce the item is a turn of speech, and at
 least half of the matched words must lie in tiles that have other runs. The scans are narrow: no text is shuffled,
 whatever the number of copies.
@@ -13,7 +13,7 @@ whatever the number of copies.
 Defined results
 * Null or blank texts and items, and rows with a null id, give no rows; items without any word cannot leak.
 * Repeated rows of the corpus are searched each for itself; repeated item rows give one result per id.
-* Words are runs of letters and digits after compatibility folding, lower case, without accents, soft hyphens,
+* Words are runs of letters and digits (single letters in scripts without blanks between words) after compatibility folding, lower case, without accents, soft hyphens,
   zero-width characters, tags and bracketed reference numbers, and without the separator inside a number; words broken by a hyphen at a line end are joined.
 * Items are broadcast in parts of at most ``part_words`` words, each part a pass of its own, so the broadcast is bounded.
 """
@@ -37,6 +37,10 @@ from papyrine.scratch import materialize
 PASSAGES = "doc_id bigint, item_id bigint, matched double, covered double, tiles array<struct<words int, runs array<bigint>>>"
 TILES = pa.list_(pa.struct([("words", pa.int32()), ("runs", pa.list_(pa.int64()))]))
 WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts without blanks between words (Thai to Lao, Burmese, Khmer, kana, Chinese) are words of their own.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+ALONE = re.compile(f"[{UNSPACED}]")
+ANY_WORD = re.compile(rf"(?!_)\w(?:(?<=[{UNSPACED}])|[^\W_{UNSPACED}]*)")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n\s*(?=[a-zß-ɏ])")
 DECIMAL = re.compile(r"[.,](?<=\d[.,])(?=\d)")
@@ -49,13 +53,14 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁһԛԝοαικνρτυχ", "ae
 
 @dataclass(frozen=True)
 class Tiling:
-    seed: int = 4
+    seed: int = 3
     shortest: int = 3
     candidate_cover: float = 0.25
     cover: float = 0.5
     gap: int = 6
     bridge: int = 2
     part_words: int = 2_000_000
+    most_seeds: int = 2_000_000
 
 
 def normal_words(text: str) -> list[str]:
@@ -70,7 +75,7 @@ def normal_words(text: str) -> list[str]:
     text = DECIMAL.sub("", text.lower())
     if not text.isascii():
         text = MARKS.sub("", unicodedata.normalize("NFKD", text).lower())
-        words = WORD.findall(text)
+        words = (ANY_WORD if ALONE.search(text) else WORD).findall(text)
         if text.isascii():
             return words
         return [w if w.isascii() or not MIXED.search(w) else w.translate(LOOKALIKES) for w in words]
@@ -232,6 +237,10 @@ def leaks_in(texts: list[str | None], items: Items, p: Tiling) -> list[tuple[int
         code, at = _runs(w, owner, k)
         lo, hi = np.searchsorted(items.codes, code[at]), np.searchsorted(items.codes, code[at], side="right")
         many = hi - lo
+        if many.sum() > p.most_seeds and len(texts) > 1:  # seeds that many items share: fewer texts at once
+            half = len(texts) // 2
+            later = [(i + half, *rest) for i, *rest in leaks_in(texts[half:], items, p)]
+            return leaks_in(texts[:half], items, p) + later
         at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
         if not len(at):
             continue
@@ -277,7 +286,10 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, evals: DataFrame, it
 
 def _without_turns(found: DataFrame, rows: DataFrame, sent, p: Tiling) -> DataFrame:
     """The passages matched for the most part, and of the others those that do not consist of turns of speech."""
-    doubtful = found.where(F.col("matched") < p.cover)
+    total = lambda tiles: F.aggregate(tiles, F.lit(0), lambda s, t: s + t["words"])
+    long_runs = total(F.filter("tiles", lambda t: t["words"] > p.shortest)) / F.greatest(total(F.col("tiles")), F.lit(1))
+    found = found.withColumn("doubtful", F.col("matched") * long_runs < p.cover)
+    doubtful = found.where("doubtful")
     run = F.explode(F.array_distinct(F.flatten("tiles.runs"))).alias("run")
     asked = [r["run"] for r in doubtful.select(run).distinct().collect()]  # runs of the items of one part
     columns = ["doc_id", "item_id", "matched", "covered"]
@@ -288,10 +300,9 @@ def _without_turns(found: DataFrame, rows: DataFrame, sent, p: Tiling) -> DataFr
     here = found.select("item_id", run).groupBy("item_id", "run").agg(F.count("*").alias("here"))
     turns = here.join(texts, "run").where("texts - here > here").groupBy("item_id").agg(F.collect_set("run").alias("turns"))
     judged = doubtful.join(turns, "item_id", "left").withColumn("turns", F.coalesce("turns", F.array().cast("array<bigint>")))
-    total = lambda tiles: F.aggregate(tiles, F.lit(0), lambda s, t: s + t["words"])
     own = F.filter("tiles", lambda t: F.size(F.array_except(t["runs"], F.col("turns"))) > 0)
     judged = judged.where(2 * total(own) >= total(F.col("tiles")))
-    return found.where(F.col("matched") >= p.cover).select(columns).unionByName(judged.select(columns))
+    return found.where("not doubtful").select(columns).unionByName(judged.select(columns))
 
 
 def _counted_runs(sent, asked, p: Tiling):

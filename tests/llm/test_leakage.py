@@ -92,3 +92,21 @@ def test_altered_passages_and_turns_of_speech(spark):
     found = L.find_leaks(frame, "doc_id", "text", items, "item_id", "text").collect()
     assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 7)]
     assert found[0]["matched"] < 0.5 <= found[0]["covered"] < 0.55
+
+
+def test_every_fourth_word_altered():
+    item = [f"own{i}" for i in range(25)]
+    assert hit(filler(30) + " " + " ".join("other" if i % 4 == 3 else w for i, w in enumerate(item)), " ".join(item))
+    assert hit(filler(30) + " " + " ".join(item[6:19]), " ".join(item))
+
+
+def test_scripts_without_blanks():
+    item = "给予受试者三周药物后观察到炎症性反应明显下降而其他指标没有变化并在随访中得到证实"
+    assert hit("前言不同。" + item[2:28] + "，结束", item) and not hit("前言不同。" + item[2:9] + "，结束", item)
+    assert L.normal_words("ab中文c กข") == ["ab", "中", "文", "c", "ก", "ข"]
+
+
+def test_seeds_that_many_items_share():
+    items = L.Items([(i, ITEM + f" tail{i} more{i}") for i in range(40)], L.Tiling())
+    few = L.leaks_in([ITEM, filler(9), ITEM], items, L.Tiling(most_seeds=50))
+    assert few == L.leaks_in([ITEM, filler(9), ITEM], items, L.Tiling()) and len(few) == 80
