@@ -101,6 +101,9 @@ def chunk_documents(docs: DataFrame, sections: DataFrame, counter=None, s: Setti
     """All chunks of ``docs(pmcid, title, journal, pub_year, abstract, doc_tables, figures)`` and
     ``sections(pmcid, ord, section_path, content)``: abstract, sections, tables and figures in this order.
 
+    Sections that carry title, journal and year themselves are not joined. A section without a document is kept, with an
+    empty header but its pmcid. ``docs`` has one row per pmcid.
+
     Chunk ids follow the section's own title, so equal titles collide; ``disambiguate`` adds the section's position.
     """
     counter = counter or Whitespace()
@@ -111,8 +114,9 @@ def chunk_documents(docs: DataFrame, sections: DataFrame, counter=None, s: Setti
 
     d = docs.select(*doc, "abstract").where(F.coalesce(T.normalize_whitespace("abstract"), F.lit("")) != "")
     abstract = blocks(d, "abstract").withColumn("branch", F.lit(0)).withColumn("ord", F.lit(0))
-    body = sections.where(F.coalesce(T.normalize_whitespace("content"), F.lit("")) != "").select("pmcid", "ord", "section_path", "content")
-    body = body.withColumnRenamed("content", "body").join(docs.select(*doc), "pmcid")
+    body = sections.where(F.coalesce(T.normalize_whitespace("content"), F.lit("")) != "").withColumnRenamed("content", "body")
+    if not set(doc) <= set(sections.columns):
+        body = body.select("pmcid", "ord", "section_path", "body").join(docs.select(*doc), "pmcid", "left")
     body = blocks(body, "body").withColumn("branch", F.lit(1))
     name = F.coalesce(F.element_at("section_path", -1), F.lit(""))
     slug = F.concat_ws("_", name, F.col("ord").cast("string")) if disambiguate else name

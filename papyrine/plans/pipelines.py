@@ -88,7 +88,8 @@ class Run:
         docs = docs.where(F.col("pmcid") == target) if target else docs
         todo, _ = self._pending(docs, "chunks", "pmcid", force, limit)
         flat = todo.select("pmcid", "metadata.title", "metadata.journal", "metadata.pub_year", "abstract", "doc_tables", "figures")
-        sections = todo.select("pmcid", F.explode("sections").alias("s")).select("pmcid", "s.ord", "s.section_path", "s.content")
+        about = ("pmcid", "title", "journal", "pub_year")  # carried along, so that nothing is joined back
+        sections = todo.select("pmcid", "metadata.title", "metadata.journal", "metadata.pub_year", F.explode("sections").alias("s")).select(*about, "s.ord", "s.section_path", "s.content")
         made = chunking.chunk_documents(flat, sections, self.counter, self.settings)
         why = validate.chunk_reasons(self.settings.chunk_min_tokens)
         checked = made.withColumn("reasons", why).persist()

@@ -57,8 +57,8 @@ def status_pivot(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
 
 
-def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+def customers_without_urgent_orders(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -119,7 +119,7 @@ ORACLES = {
     "part_cube": "select p_brand, p_size, count(*) n from part group by cube (p_brand, p_size)",
     "customer_rank": "select c_nationkey, c_custkey, c_acctbal, place::INT place from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) place from customer) where place <= 3",
     "status_pivot": "select o_orderpriority, nullif(count(*) filter (o_orderstatus = 'F'), 0) \"F\", nullif(count(*) filter (o_orderstatus = 'O'), 0) \"O\", nullif(count(*) filter (o_orderstatus = 'P'), 0) \"P\" from orders group by 1",
-    "customers_without_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "customers_without_urgent_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "nation_set_ops": "with c as (select distinct c_nationkey k from customer where c_acctbal > 9000), s as (select distinct s_nationkey k from supplier where s_acctbal > 5000) select k, case when k in (select k from c) and k in (select k from s) then 'both' when k in (select k from c) then 'customers' else 'suppliers' end side from (select k from c union select k from s)",
     "events_asof": "select event_id, user_id, view_id from (select event_id, user_id, event_type, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, case when event_type = 'view' then 0 else 1 end, event_id rows between unbounded preceding and 1 preceding) view_id from events where event_type in ('view', 'purchase')) where event_type = 'purchase'",
     "events_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2",
@@ -132,6 +132,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         pricing_summary, shipping_priority, local_supplier_volume, revenue_change, order_rollup, part_cube, customer_rank, status_pivot,
-        customers_without_orders, nation_set_ops, events_asof, events_windows, events_sessions, event_props, stream_latest_chunks,
+        customers_without_urgent_orders, nation_set_ops, events_asof, events_windows, events_sessions, event_props, stream_latest_chunks,
     )
 }

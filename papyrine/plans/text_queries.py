@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from papyrine.config import Settings
 from papyrine.functions import text as T
 from papyrine.functions.tokens import Whitespace
-from papyrine.operators import chunking, stats, validate
+from papyrine.operators import chunking, nested, stats, validate
 from papyrine.operators.index import latest
+from papyrine.plans.nested_queries import _NODES
 from papyrine.tables import table
 
 #: Blanks of all scripts as one RE2 class.
@@ -100,7 +101,7 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_id_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.id_collisions(table(spark, d, "chunks"))
+    return chunking.id_collisions(chunk_documents(spark, d))
 
 
 def chunk_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -136,8 +137,9 @@ def chunk_report(spark: SparkSession, d: str) -> DataFrame:
 
 def document_validate(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "canonical_docs")
-    has = F.coalesce(F.trim("sections").startswith("[{"), F.lit(False))
-    why = validate.document_reasons("metadata.pmcid", "metadata.title", "abstract", has)
+    some = nested.emit(c, payload=False).where("tag = 'section'").select(F.col("id").alias("canon_id"), F.lit(True).alias("some")).distinct()
+    c = c.join(some, "canon_id", "left")
+    why = validate.document_reasons("metadata.pmcid", "metadata.title", "abstract", F.coalesce("some", F.lit(False)))
     return c.select("canon_id", F.array_join(why, ",").alias("reasons"))
 
 
@@ -167,6 +169,39 @@ def search_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SPLIT = rf"list_filter(list_transform(string_split(regexp_replace(coalesce(content, ''), '([.!?]){SP}+', '\1' || chr(57344), 'g'), chr(57344)), lambda s: regexp_replace(s, '^{SP}+|{SP}+$', '', 'g')), lambda s: s <> '')"
+
+
+def _pack(source: str, target: int = 64, most: int = 80, overlap: int = 10) -> str:
+    """Tables up to ``packed(k, seq, txt)``: the chunks of ``source(k, content)``, one step of a recursion per sentence.
+
+    ``j`` is the first sentence held; a step closes the chunk ``a..b``, or cuts the sentence ``h``."""
+    return f"""sents as (select k, {_SPLIT} s from ({source})), sized as (select k, s, list_transform(s, lambda x: len({_words('x')})) n from sents where len(s) > 0),
+ pre as (select k, s, n, list_prepend(0, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])::BIGINT)) p from sized),
+ steps as (select k, 1::BIGINT i, 1::BIGINT j, 0::BIGINT a, 0::BIGINT b, 0::BIGINT h from pre union all
+  select k, i + 1, case when i > len(n) then j when n[i] > {most} then i + 1 when p[i + 1] - p[j] <= {target} or j = i then j else list_min(list_filter(range(j, i + 1), lambda x: p[i] - p[x] <= {overlap})) end,
+   case when j < i and (i > len(n) or n[i] > {most} or p[i + 1] - p[j] > {target}) then j else 0 end, i - 1, case when i <= len(n) and n[i] > {most} then i else 0 end
+  from steps join pre using (k) where i <= len(n) + 1),
+ cut as (select k, i, {_words('s[h]')} w from steps join pre using (k) where h > 0),
+ parts as (select k, i, 0::BIGINT part, array_to_string(s[a:b], ' ') txt from steps join pre using (k) where a > 0
+  union all select k, i, 1 + q, array_to_string(w[q * {target} + 1 : q * {target} + {target}], ' ') from (select k, i, w, unnest(range(0, (len(w) + {target - 1}) // {target})) q from cut)),
+ packed as (select k, (row_number() over (partition by k order by i, part) - 1)::INT seq, txt from parts)"""
+
+
+_DOCS = "(select * from (select *, row_number() over (partition by pmcid order by parsed_at desc nulls last, canon_id desc nulls last) rn from canonical_docs) where rn = 1)"
+_ROWS = f"""docs as (select pmcid, metadata.title title, metadata.journal journal, metadata.pub_year pub_year, abstract, doc_tables, figures from {_DOCS}),
+ body as (select s.pmcid, docs.title, docs.journal, docs.pub_year, ord, section_path, section_id, content from sections s left join docs on s.pmcid = docs.pmcid where not {{blank_content}}),
+ heads as (select 'a' || pmcid k, abstract content from docs where not {{blank_abstract}} union all select 's' || section_id, content from body),
+ {{packed}},
+ made as (select 'ABSTRACT' kind, pmcid, title, journal, pub_year, 0 branch, 0 ord, seq, txt, ['Abstract'] path, 'abstract' slug from packed join docs on k = 'a' || pmcid
+  union all select 'TEXT', pmcid, title, journal, pub_year, 1, ord, seq, txt, section_path, coalesce(section_path[-1], '') from packed join body on k = 's' || section_id
+  union all select 'TABLE', pmcid, title, journal, pub_year, 2, p - 1, p - 1, concat_ws(chr(10) || chr(10), nullif(trim(doc_tables[p].caption), ''), doc_tables[p].markdown),
+   [coalesce(nullif(doc_tables[p].section, ''), 'Tables')], coalesce(doc_tables[p].id, 'table_' || (p - 1)) from (select *, unnest(range(1, len(doc_tables) + 1)) p from docs) where trim(coalesce(doc_tables[p].markdown, '')) <> ''
+  union all select 'FIGURE_CAPTION', pmcid, title, journal, pub_year, 3, p - 1, p - 1, trim(figures[p].caption), ['Figures'], coalesce(figures[p].id, 'fig_' || (p - 1)) from (select *, unnest(range(1, len(figures) + 1)) p from docs) where trim(coalesce(figures[p].caption, '')) <> ''),
+ filed as (select *, coalesce(path[1], '') section, case when len(path) > 1 then coalesce(path[-1], '') else '' end subsection from made),
+ chunked as (select format('{{{{}}}}_{{{{}}}}_{{{{:03d}}}}', pmcid, {{slug}}, seq::INT) chunk_id, kind chunk_type, txt content, len({{words}})::INT token_count, pmcid, {{header}} metadata_header, branch::INT branch, ord::INT ord, seq::INT seq from filed)"""
+_CHUNKED = "with recursive " + _ROWS.format(
+    blank_content=BLANK("content"), blank_abstract=BLANK("abstract"), packed=_pack("select k, content from heads"), slug=_slug("slug"), words=_words("txt"), header=_header("filed")
+)
 _REASONS = (
     f"concat_ws(',', case when {BLANK('content')} then 'empty_content' end, case when coalesce(token_count, 0) < 50 then 'below_min_tokens' end, "
     f"case when {BLANK('metadata.pmcid')} then 'missing_pmcid' end, case when {BLANK('metadata.section')} and {BLANK('metadata.chunk_type')} then 'missing_section_and_type' end, "
@@ -185,8 +220,10 @@ ORACLES = {
     "sentence_split": f"select section_id, (p - 1)::INT pos, l[p] sentence from (select section_id, l, unnest(range(1, len(l) + 1)) p from (select section_id, {_SPLIT} l from sections))",
     "token_counts": f"select row_id, len({_words('content')})::INT words, array_to_string(({_words('content')})[1:12], ' ') head from chunks",
     "chunk_hard_split": f"select section_id, p::INT part, array_to_string(w[p * 40 + 1 : p * 40 + 40], ' ') words from (select section_id, w, unnest(range(0, (len(w) + 39) // 40)) p from (select section_id, {_words('content')} w from sections))",
+    "chunk_pack": f"with recursive {_pack('select section_id k, content from sections')} select k section_id, seq, txt \"text\", len({_words('txt')})::INT tokens from packed",
+    "chunk_documents": _CHUNKED + " select * from chunked",
     "chunk_ids": f"select section_id, format('{{}}_{{}}_{{:03d}}', pmcid, {_slug('title')}, ord) chunk_id, {_slug('title')} slug from sections",
-    "chunk_id_collisions": "select chunk_id, count(distinct content) contents, count(*) \"rows\" from chunks group by chunk_id having count(distinct content) > 1",
+    "chunk_id_collisions": _CHUNKED + ' select chunk_id, count(distinct content) contents, count(*) "rows" from chunked group by chunk_id having count(distinct content) > 1',
     "chunk_headers": f"select row_id, {_header('metadata')} header from chunks",
     "section_metadata": "select section_id, coalesce(section_path[1], '') section, case when len(section_path) > 1 then coalesce(section_path[-1], '') else '' end subsection from sections",
     "point_ids": f"select row_id, {_point('chunk_id')} point_id from chunks where chunk_id <> ''",
@@ -194,8 +231,8 @@ ORACLES = {
     "chunk_reject_reasons": f"select row_id, {_REASONS} reasons from chunks",
     "chunk_validate": f"select row_id, chunk_id, token_count from chunks where {_REASONS} = ''",
     "chunk_report": f"select reason, count(*) n from (select unnest(string_split({_REASONS}, ',')) reason from chunks) where reason <> '' group by 1 union all select case when r = '' then 'valid' else 'rejected' end, count(*) from (select {_REASONS} r from chunks) group by 1",
-    "document_validate": f"""select canon_id, concat_ws(',', case when {BLANK('metadata.pmcid')} then 'missing_pmcid' end, case when {BLANK('metadata.title')} then 'missing_title' end,
- case when not coalesce(starts_with(trim(sections), '[{{'), false) and {BLANK('abstract')} then 'missing_sections_and_abstract' end) reasons from canonical_docs""",
+    "document_validate": _NODES + f""" select canon_id, concat_ws(',', case when {BLANK('metadata.pmcid')} then 'missing_pmcid' end, case when {BLANK('metadata.title')} then 'missing_title' end,
+ case when canon_id not in (select canon_id from n) and {BLANK('abstract')} then 'missing_sections_and_abstract' end) reasons from canonical_docs""",
     "doc_stats": _DOC_STATS,
     "corpus_stats": f"""select count(*) documents, sum(total_chunks)::BIGINT total_chunks, sum(rejected_chunks)::BIGINT rejected_chunks, sum(text_chunks)::BIGINT text_chunks, sum(table_chunks)::BIGINT table_chunks,
  sum(abstract_chunks)::BIGINT abstract_chunks, sum(figure_caption_chunks)::BIGINT figure_caption_chunks, max(largest_chunk) largest_chunk, min(nullif(smallest_chunk, 0)) smallest_chunk, sum(total_tokens)::BIGINT total_tokens,
