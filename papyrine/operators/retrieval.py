@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def dense_topk(corpus: DataFrame, key: str, vec: str, queries: DataFrame, query_
     """``(query, key, score, rank)``: exact cosine search of a stated query set against all vectors.
 
     Queries are taken in blocks of at most ``block_queries`` (that many vectors are sent to the executors); each task
-    scores its batches by one matrix product and passes on k rows per query and batch. Vectors of another dimension,
+    scores its batches by one matrix product and passes on its k best rows per query. Vectors of another dimension,
     with null, NaN or infinite entries, or of length zero are neither searched nor found. ``exclude_self`` is for query
     ids that are ids of the corpus: a query then does not find itself.
     """
@@ -54,9 +55,32 @@ def dense_topk(corpus: DataFrame, key: str, vec: str, queries: DataFrame, query_
     return top(out, "score", "key", k)
 
 
+class _Best:
+    """The k best rows per query that a task has met, by score and then by key."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.rows = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def add(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        q, c, s = (np.concatenate(p) for p in zip(self.rows, (query, key, score)))
+        order = np.lexsort((c, -s, q))
+        q = q[order]
+        first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.empty(0, bool)
+        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else q
+        keep = order[rank < self.k]
+        self.rows = (q[rank < self.k], c[keep], s[keep])
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        q, c, s = self.rows
+        return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], ["query", "key", "score"])
+
+
 def _score(sent, dim: int, k: int, digits: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
+        best = _Best(k)
+        floor = np.full(len(ids), -3.0)  # what a row must reach to be among the k best of its query
         for b in batches_of(batches, 2048):
             at, x = matrix(b.column(1), dim)
             size = np.linalg.norm(x, axis=1)
@@ -67,17 +91,85 @@ def _score(sent, dim: int, k: int, digits: int, exclude_self: bool):
             s = np.round(q @ (x / size[:, None]).T, digits)
             if exclude_self:
                 s[ids[:, None] == keys[None, :]] = -9
-            order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            cols = order.ravel()
-            keep = s[rows, cols] > -9
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]]), pa.array(keys[cols[keep]]), pa.array(s[rows[keep], cols[keep]])], ["query", "key", "score"])
+            if s.shape[1] > k:
+                cut = np.maximum(floor, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+            else:
+                cut = floor
+            row, col = np.nonzero((s >= cut[:, None]) & (s > -9))
+            best.add(row, keys[col], s[row, col])
+            row, _, score = best.rows
+            n = np.bincount(row, minlength=len(ids))
+            full = n == k
+            floor[full] = np.minimum.reduceat(score, np.concatenate([[0], np.cumsum(n[n > 0])[:-1]]))[full[n > 0]]
+        yield best.batch(ids)
 
     return run
 
 
-def bm25_topk(docs: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 20, digits: int = 6, **kw) -> DataFrame:
-    return top(bm25(docs, key, queries, query_key, **kw).withColumn("score", F.round("score", digits)), "score", "key", k)
+def bm25_topk(docs: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 20, digits: int = 6, text: str = "content", query_text: str = "text", k1: float = 1.5, b: float = 0.75, most_terms: int = 1_000_000) -> DataFrame:
+    """``(query, key, score, rank)``: the texts with the highest BM25 score.
+
+    The terms of the queries are sent to all tasks where they are at most ``most_terms``: one scan counts texts, their length
+    and the texts per term, a second one scores its batches and passes on k rows per query and task, whatever the size of the
+    corpus. More terms are joined instead (``sparse.bm25``); the result is the same.
+    """
+    spark = docs.sparkSession
+    asked = queries.select(F.col(query_key).cast("bigint").alias("query"), F.explode(F.array_distinct(terms(query_text))).alias("term")).where("query is not null").distinct()
+    n = asked.limit(most_terms + 1).count()
+    if n > most_terms:
+        return top(bm25(docs, key, queries, query_key, text, query_text, k1, b).withColumn("score", F.round("score", digits)), "score", "key", k)
+    t = asked.orderBy("query", "term").toArrow()
+    ids, who = np.unique(t.column("query").to_numpy(), return_inverse=True)
+    words, what = np.unique(np.array(t.column("term").to_pylist(), dtype=object), return_inverse=True)
+    words = pa.array(list(words), pa.string())
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), terms(text).alias("terms"))
+
+    def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length of each text; row and number of each of its words that a query has."""
+        lists = batch.column(1)
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = pc.index_in(lists.flatten(), value_set=sent.value[0])
+        known = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+        return size, np.repeat(np.arange(len(size)), size)[known], number.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = len(sent.value[0])
+        texts, length, df = 0, 0, np.zeros(m, np.int64)
+        for batch in batches_of(batches, 2048):
+            size, row, term = tokens(batch)
+            texts, length = texts + len(size), length + int(size.sum())
+            df += np.bincount(np.unique(row * m + term) % m, minlength=m) if len(row) else 0
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *some], pa.int64()), pa.array([texts, length, *df[some]], pa.int64())], ["term", "n"])
+
+    sent = spark.sparkContext.broadcast((words, who, what))  # at most most_terms terms
+    seen = {r["term"]: r["n"] for r in rows.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row per term
+    texts, average = seen.get(-2, 0), seen.get(-1, 0) / max(1, seen.get(-2, 0))
+    df = np.array([seen.get(i, 0) for i in range(len(words))], float)
+    idf = np.log1p((texts - df + 0.5) / (df + 0.5))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, who, what = sent.value
+        m, best = len(idf), _Best(k)
+        by = np.argsort(what, kind="stable")  # the queries of each term
+        start = np.searchsorted(what[by], np.arange(m + 1))
+        for batch in batches_of(batches, 1024):
+            size, row, term = tokens(batch)
+            if not len(row):
+                continue
+            at, tf = np.unique(row * m + term, return_counts=True)
+            row, term = at // m, at % m
+            part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / average))
+            many = start[term + 1] - start[term]
+            query = who[by[np.repeat(start[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())]]
+            pair, inverse = np.unique(query * len(size) + np.repeat(row, many), return_inverse=True)
+            total = np.round(np.bincount(inverse, np.repeat(part, many)), digits)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)[pair % len(size)]
+            known = ~np.isnan(keys) if keys.dtype.kind == "f" else slice(None)
+            best.add(pair[known] // len(size), keys[known].astype(np.int64), total[known])
+        yield best.batch(ids)
+
+    return top(rows.mapInArrow(score, "query bigint, key bigint, score double"), "score", "key", k)
 
 
 def rrf(ranked: list[DataFrame], k: int = 60, final: int = 20, digits: int = 9) -> DataFrame:
@@ -123,11 +215,12 @@ def citations(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def search(chunks: DataFrame, key: str, vec: str, queries: DataFrame, dim: int, k: int = 20, final: int = 5, where=None) -> DataFrame:
-    """Hybrid search for ``queries(query, text, embedding)``: filtered dense and sparse rankings, fused and reranked."""
+    """Hybrid search for ``queries(query, text, embedding)``, with texts cleaned like the corpus: filtered dense and sparse
+    rankings, fused and reranked."""
     pool = chunks if where is None else chunks.where(where)
-    q = queries.withColumn("query", F.col("query").cast("bigint"))
-    dense = dense_topk(pool, key, vec, q, "query", "embedding", dim, k, exclude_self=False)
-    sparse = bm25_topk(pool, key, q, "query", k)
+    q = prepare_queries(queries.withColumn("query", F.col("query").cast("bigint")))
+    dense = dense_topk(pool, key, vec, q, "query", "embedding", dim, k, digits=5, exclude_self=False)
+    sparse = bm25_topk(pool, key, q, "query", k, digits=5)
     fused = rrf([dense, sparse], final=k)
     wide = fused.join(pool.select(F.col(key).alias("key"), "content", "token_count"), "key").join(q.select("query", F.col("text").alias("query_text")), "query")
     return rerank(wide, final=final)
