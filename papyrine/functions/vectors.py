@@ -16,14 +16,15 @@ from papyrine.functions.text import _c
 
 @F.pandas_udf(DoubleType())
 def _norms(s: pd.Series) -> pd.Series:
-    def one(v):
-        if v is None:
-            return None
-        x = np.asarray([np.nan if e is None else e for e in v], np.float64)
-        with np.errstate(all="ignore"):
-            return float(np.sqrt(np.dot(x, x)))
-
-    return s.map(one)
+    lists = pa.array(s, pa.list_(pa.float64()))
+    length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+    out = np.zeros(len(lists))
+    some = np.flatnonzero(length > 0)
+    with np.errstate(all="ignore"):
+        if len(some):
+            out[some] = np.sqrt(np.add.reduceat(flat * flat, (np.cumsum(length) - length)[some]))
+    return pd.Series(out).where(s.notna(), None)
 
 
 def norm(c: str | Column) -> Column:
@@ -31,11 +32,6 @@ def norm(c: str | Column) -> Column:
     return _norms(_c(c))
 
 
-def norm_jvm(c: str | Column) -> Column:
-    """The same without Python, for small tables and SQL contexts."""
-    return F.sqrt(F.aggregate(_c(c), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-
-
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of exactly ``dim`` entries without nulls, as positions and a float64 matrix."""
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)

@@ -6,12 +6,12 @@ so a document of any size is spread over tasks.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +32,12 @@ class HashingEmbedder:
         self.name, self.dim = f"hashing-{dim}", dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float64)
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                out[i, h % self.dim] += 1.0 if h >> 31 else -1.0
+        words = [t.lower().split() for t in texts]
+        known = {w: i for i, w in enumerate({w for ws in words for w in ws})}  # each word is hashed once
+        h = np.array([int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) for w in known], np.int64)
+        at = np.array([known[w] for ws in words for w in ws], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        out = np.bincount(row * self.dim + h[at] % self.dim, np.where(h[at] >> 31, 1.0, -1.0), len(texts) * self.dim).reshape(len(texts), self.dim) if len(at) else np.zeros((len(texts), self.dim))
         size = np.linalg.norm(out, axis=1)
         out[size == 0, 0] = 1.0
         size[size == 0] = 1.0

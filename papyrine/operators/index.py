@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import text as T
+from papyrine.operators import sparse
 
 
 def build_points(vectors: DataFrame, chunks: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -23,7 +24,8 @@ def build_points(vectors: DataFrame, chunks: DataFrame, docs: DataFrame | None =
     text = chunks.groupBy("chunk_id").agg(F.max_by("content", "row_id").alias("content")) if "row_id" in chunks.columns else chunks.select("chunk_id", "content").dropDuplicates(["chunk_id"])
     p = v.select("chunk_id", "embedding", F.col("metadata").alias("m"), "metadata_header").join(text, "chunk_id", "left")
     if docs is not None:
-        d = docs.select(F.col("pmcid").alias("d_pmcid"), F.col("title").alias("d_title"), F.col("journal").alias("d_journal"), F.col("pub_year").alias("d_year"), "article_type", "license").dropDuplicates(["d_pmcid"])
+        d = docs.select(F.col("pmcid").alias("d_pmcid"), F.col("title").alias("d_title"), F.col("journal").alias("d_journal"), F.col("pub_year").alias("d_year"), "article_type", "license")
+        d = d.groupBy("d_pmcid").agg(F.max(F.struct("d_title", "d_journal", "d_year", "article_type", "license")).alias("d")).select("d_pmcid", "d.*")  # one row per document
         p = p.join(d, F.col("m.pmcid") == F.col("d_pmcid"), "left")
     else:
         p = p.withColumns({c: F.lit(None).cast(t) for c, t in (("d_title", "string"), ("d_journal", "string"), ("d_year", "int"), ("article_type", "string"), ("license", "string"))})
@@ -37,6 +39,12 @@ def build_points(vectors: DataFrame, chunks: DataFrame, docs: DataFrame | None =
     )
 
 
+def with_sparse(points: DataFrame) -> DataFrame:
+    """Points with a sparse vector of the words of their content beside the dense one; null where there are none."""
+    texts = points.select("chunk_id", "content").distinct()
+    return points.join(sparse.sparse_vectors(sparse.postings(texts, "chunk_id"), "chunk_id"), "chunk_id", "left")
+
+
 def latest(df: DataFrame, key: str, *order) -> DataFrame:
     """One row per key, the last by ``order``; the group limit runs before the shuffle."""
     w = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])

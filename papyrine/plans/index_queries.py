@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.vectors import norm
 from papyrine.operators import embedding, index, retrieval, sparse, stats, validate
-from papyrine.plans.text_queries import BLANK, _point
+from papyrine.plans.text_queries import BLANK, _point, _strip, _words
 from papyrine.tables import table
 
 DIM = 128
 
 
 def embed_norms(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embedded_chunks").where(F.size("embedding") > 0).select("vec_id", norm("embedding").alias("n"))
-    return v.where(F.col("n").isNotNull() & ~F.isnan("n") & (F.col("n") < 1e30)).select("vec_id", F.round("n", 5).alias("norm"))
+    """Every vector's length, or why it has none."""
+    v = table(spark, d, "embedded_chunks").select("vec_id", F.coalesce(F.size("embedding"), F.lit(0)) <= 0, norm("embedding").alias("n")).toDF("vec_id", "none", "n")
+    state = F.when(F.col("none"), "empty").when(F.col("n").isNull() | F.isnan("n"), "not_a_number").when(F.col("n") >= 1e30, "out_of_range").otherwise("ok")
+    v = v.withColumn("state", state)
+    return v.select("vec_id", F.when(F.col("state") == "ok", F.round("n", 5)).alias("norm"), "state")
 
 
 def embed_validate(spark: SparkSession, d: str) -> DataFrame:
@@ -32,8 +35,9 @@ def embed_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All entries of the vectors that are not zero."""
     e = embedding.embed(table(spark, d, "chunks"), dim=256)
-    return e.select("chunk_id", "embedding_model", "embedding_dimension", F.size("embedding").alias("entries"), F.round(norm("embedding"), 4).alias("norm"))
+    return e.select("chunk_id", "embedding_model", "embedding_dimension", F.posexplode("embedding").alias("entry", "value")).where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +65,7 @@ def doc_freq_idf(spark: SparkSession, d: str) -> DataFrame:
 
 def sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = sparse.sparse_vectors(sparse.postings(table(spark, d, "chunks"), "row_id"), "row_id")
-    return v.select("row_id", F.size("sparse.indices").alias("terms"), F.aggregate("sparse.values", F.lit(0.0), lambda a, x: a + x).alias("words"))
+    return v.select("row_id", F.size("sparse.indices").alias("terms"), F.aggregate("sparse.values", F.lit(0.0), lambda a, x: a + x).alias("words"), F.array_join(F.transform(F.array_sort("sparse.values"), lambda x: x.cast("int").cast("string")), ",").alias("counts"), (F.size(F.array_distinct("sparse.indices")) == F.size("sparse.indices")).alias("no_index_twice"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +165,7 @@ def index_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def index_validate(spark: SparkSession, d: str) -> DataFrame:
     p = index.build_points(table(spark, d, "embedded_chunks"), table(spark, d, "chunks"))
-    return validate.index_report(p, None, DIM).drop("expected_points")
+    return validate.index_report(p, table(spark, d, "embedded_chunks").count(), DIM)
 
 
 def resume_pending(spark: SparkSession, d: str) -> DataFrame:
@@ -170,6 +174,57 @@ def resume_pending(spark: SparkSession, d: str) -> DataFrame:
     return index.only_new(table(spark, d, "chunks").select("pmcid").distinct(), done, "pmcid")
 
 
+def index_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred points by id, for a look at a collection."""
+    p = index.build_points(table(spark, d, "embedded_chunks"), table(spark, d, "chunks"))
+    return index.first_points(p.select("id", "chunk_id"), 100)
+
+
+def payload_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of vectors stripped of their own title, journal and year, which the last record of the paper gives."""
+    bare = F.struct("metadata.pmcid", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("journal"), F.lit(None).cast("int").alias("pub_year"), *[f"metadata.{c}" for c in ("section", "subsection", "section_path", "chunk_type", "token_count")])
+    papers = index.latest(table(spark, d, "papers"), "pmcid", "ingested_at", "record_id")
+    p = index.build_points(table(spark, d, "embedded_chunks").withColumn("metadata", bare), table(spark, d, "chunks"), papers)
+    return p.select("id", "chunk_id", "pmcid", "title", "journal", "pub_year", "article_type", "license", F.array_join(validate.payload_missing(zero_is_missing=True), ",").alias("missing"))
+
+
+def embed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of 32 vectors in the order of their ids."""
+    return embedding.batch_numbers(table(spark, d, "embedded_chunks").select("vec_id"), 32, "vec_id").select("vec_id", F.col("position").cast("bigint").alias("position"), F.col("batch").cast("bigint").alias("batch"))
+
+
+def embed_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Megabytes of a batch of 32 rows of each type, by the longest of them."""
+    longest = table(spark, d, "chunks").groupBy("chunk_type").agg(F.max(F.coalesce("token_count", F.lit(0))).alias("longest"))
+    return longest.select("chunk_type", "longest", F.round(embedding.memory_estimate_mb(32, F.col("longest"), 768), 4).alias("megabytes"))
+
+
+def sparse_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points with their dense and sparse vectors: entries of the one, terms of the other."""
+    p = index.with_sparse(index.build_points(table(spark, d, "embedded_chunks"), table(spark, d, "chunks")))
+    words = F.coalesce(F.aggregate("sparse.values", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    return p.select("id", "chunk_id", F.size("embedding").alias("entries"), F.coalesce(F.size("sparse.indices"), F.lit(0)).alias("terms"), words.alias("words"))
+
+
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Filtered hybrid search: every hundredth vector asks with its own direction and the text of its chunk."""
+    text = table(spark, d, "chunks").groupBy("chunk_id").agg(F.max_by("content", "row_id").alias("content"))
+    pool = table(spark, d, "embedded_chunks").where("metadata.pub_year >= 2010").join(text, "chunk_id").select("vec_id", "embedding", "content", F.col("metadata.token_count").alias("token_count"))
+    asked = table(spark, d, "embedded_chunks").where("vec_id % 100 = 0").join(text, "chunk_id").select(F.col("vec_id").alias("query"), F.col("content").alias("text"), "embedding")
+    out = retrieval.search(pool, "vec_id", "embedding", asked, DIM)
+    return out.select("query", F.col("key").alias("vec_id"), "score", "rank")
+
+
+def query_texts(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.prepare_queries(table(spark, d, "eval_items")).select("item_id", "text")
+
+
+def statistics_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of two runs, over rows with even and with odd numbers, merged into totals."""
+    c = table(spark, d, "chunks").groupBy((F.col("row_id") % 2 == 0).alias("first")).agg(F.count("*").alias("chunks"), F.sum(F.coalesce("token_count", F.lit(0))).alias("tokens"))
+    return stats.cumulative(c.where("first").drop("first"), c.where("not first").drop("first"))
+
+
 _TERMS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _POST = f"select row_id, term, count(*) tf, dl from (select row_id, len(t)::INT dl, unnest(t) term from (select row_id, {_TERMS.format('content')} t from chunks)) group by row_id, term, dl"
 _IDF = f"select term, count(*) df, ln(1 + ((select count(*) from chunks) - count(*) + 0.5) / (count(*) + 0.5)) idf from ({_POST}) group by term"
@@ -194,16 +249,21 @@ _OLD = "select chunk_id, vec_id ref, 'vector' origin from (" + _LAST.format("vec
 _NEW = "select chunk_id, row_id ref, 'chunk' origin from (" + _LAST.format("row_id", "created_at", "chunks") + ") where chunk_id <> ''"
 
 ORACLES = {
-    "embed_norms": "select vec_id, round(n, 5) norm from (select vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) n from embedded_chunks where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null)) = 0) where not isnan(n) and n < 1e30",
+    "embed_norms": """select vec_id, case when state = 'ok' then round(n, 5) end norm, state from (select vec_id, n, case when coalesce(len(embedding), 0) = 0 then 'empty' when bad or isnan(n) then 'not_a_number' when n >= 1e30 then 'out_of_range' else 'ok' end state
+ from (select vec_id, embedding, coalesce(len(list_filter(embedding, lambda x: x is null)) > 0, false) bad, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) n from embedded_chunks))""",
     "embed_validate": f"select vec_id, {_VREASON} reasons from ({_VROWS})",
     "embed_report": f"select reason, count(*) n from (select unnest(string_split({_VREASON}, ',')) reason from ({_VROWS})) where reason <> '' group by 1 union all select case when r = '' then 'valid' else 'rejected' end, count(*) from (select {_VREASON} r from ({_VROWS})) group by 1",
     "embed_stats": f"select count(*) vectors, count(distinct metadata.pmcid) documents, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 4) average_norm from ({_VROWS}) where {_VREASON} = ''",
-    "embed_chunks": f"select chunk_id, 'hashing-256' embedding_model, 256 embedding_dimension, 256 entries, 1.0 norm from chunks where not {BLANK('metadata_header')} or not {BLANK('content')}",
+    "embed_chunks": f"""with t as (select row_id, chunk_id, case when coalesce(metadata_header, '') <> '' then metadata_header || chr(10) || chr(10) || coalesce(content, '') else coalesce(content, '') end t from chunks where not {BLANK('metadata_header')} or not {BLANK('content')}),
+ w as (select row_id, chunk_id, unnest({_words('lower(t)')}) w from t), h as (select row_id, chunk_id, ('0x' || left(md5(w), 8))::UBIGINT h from w),
+ e as (select row_id, chunk_id, (h % 256)::INT entry, sum(case when h >= 2147483648 then 1 else -1 end)::DOUBLE x from h group by all),
+ n as (select row_id, sqrt(sum(x * x)) size from e group by 1)
+ select chunk_id, 'hashing-256' embedding_model, 256 embedding_dimension, entry, round(x / size, 4) "value" from e join n using (row_id) where x <> 0""",
     "dense_topk": _DENSE.format("") + ' select query, vec_id, score, "rank" from r where "rank" <= 20',
     "dense_topk_filtered": _DENSE.format("and k.metadata.pub_year between 2015 and 2020 and k.metadata.chunk_type = 'TEXT'") + ' select query, vec_id, score, "rank" from r where "rank" <= 5',
     "term_freq": _POST,
     "doc_freq_idf": f"select term, df, round(idf, 6) idf from ({_IDF})",
-    "sparse_vectors": f"select row_id, count(*)::INT terms, sum(tf)::DOUBLE words from ({_POST}) group by row_id",
+    "sparse_vectors": f"select row_id, count(*)::INT terms, sum(tf)::DOUBLE words, string_agg(tf::VARCHAR, ',' order by tf) counts, true no_index_twice from ({_POST}) group by row_id",
     "bm25_topk": _BM25 + ' select query, row_id, score, "rank" from r where "rank" <= 20',
     "hybrid_rrf": f"""select query, row_id, round(score, 8) score, "rank" from (select *, row_number() over (partition by query order by score desc, row_id)::INT "rank" from (
  select query, row_id, round(sum(s), 9) score from (
@@ -227,7 +287,29 @@ ORACLES = {
     "index_upsert": f"select * from ({_OLD}) union all select * from ({_NEW}) where chunk_id not in (select chunk_id from ({_OLD}))",
     "index_upsert_force": f"select * from ({_NEW}) union all select * from ({_OLD}) where chunk_id not in (select chunk_id from ({_NEW}))",
     "index_dedup": _LAST.format("row_id", "created_at", "chunks"),
-    "index_validate": f"select count(*) total_points, count(*) filter (len(embedding) <> 128) dimension_errors, count(*) filter ({_MISSING} <> '') payload_errors, count(*) filter (len(embedding) <> 128) = 0 and count(*) filter ({_MISSING} <> '') = 0 is_valid from ({_POINTS})",
+    "index_validate": f"select count(*) total_points, count(*) filter (len(embedding) <> 128) dimension_errors, count(*) filter ({_MISSING} <> '') payload_errors, (select count(*) from embedded_chunks) expected_points, count(*) = (select count(*) from embedded_chunks) and count(*) filter (len(embedding) <> 128) = 0 and count(*) filter ({_MISSING} <> '') = 0 is_valid from ({_POINTS})",
+    "index_sample": f"select id, chunk_id from ({_POINTS}) order by id limit 100",
+    "payload_fallback": f"""with pp as (select * from (select *, row_number() over (partition by pmcid order by ingested_at desc nulls last, record_id desc) n from papers) where n = 1),
+ q as (select p.id, p.chunk_id, p.pmcid, coalesce(pp.title, '') title, coalesce(pp.journal, '') journal, pp.pub_year pub_year, coalesce(pp.article_type, '') article_type, coalesce(pp.license, '') license, p.section, p.chunk_type, p.token_count, p.content
+  from ({_POINTS}) p left join pp on pp.pmcid = nullif(p.pmcid, ''))
+ select id, chunk_id, pmcid, title, journal, pub_year, article_type, license, concat_ws(',', {', '.join("case when " + f + " is null or " + f + "::VARCHAR = '' then '" + f + "' end" if f != "token_count" else "case when token_count = 0 then 'token_count' end" for f in validate.REQUIRED_WITH_CONTENT)}) missing from q""",
+    "embed_batches": "select vec_id, row_number() over (order by vec_id) \"position\", (row_number() over (order by vec_id) - 1) // 32 batch from embedded_chunks",
+    "embed_memory": "select chunk_type, longest, round((32 * longest * 8 + 32 * longest * 768 * 4 + 32 * 768 * 4) / 1048576, 4) megabytes from (select chunk_type, max(coalesce(token_count, 0)) longest from chunks group by 1)",
+    "sparse_points": f"select id, chunk_id, len(embedding)::INT entries, len(list_distinct({_TERMS.format('content')}))::INT terms, len({_TERMS.format('content')})::DOUBLE words from ({_POINTS})",
+    "hybrid_search": f"""with texts as (select chunk_id, max_by(content, row_id) content from chunks where content is not null group by 1 union all select chunk_id, null from chunks group by 1 having count(content) = 0),
+ pool as (select v.*, t.content text from embedded_chunks v join texts t using (chunk_id) where v.metadata.pub_year >= 2010),
+ chunks as (select vec_id row_id, text content from pool), eval_items as (select * from (select vec_id item_id, {_strip('nfc_normalize(t.content)')} "text", embedding from embedded_chunks v join texts t using (chunk_id) where vec_id % 100 = 0) where "text" <> ''),
+ {_BM25.removeprefix('with ').replace('r as', 'lexical as', 1)},
+ v as (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) e from pool where embedding is not null and {_USABLE}),
+ w as (select item_id query, list_transform(embedding, lambda x: x::DOUBLE) e from eval_items where embedding is not null and {_USABLE}),
+ near as (select *, row_number() over (partition by query order by score desc, row_id)::INT "rank" from (select query, v.vec_id row_id, round(list_cosine_similarity(w.e, v.e), 5) score from w, v)),
+ fused as (select query, row_id, round(sum(1.0 / (60 + "rank")), 9) score from (select query, row_id, "rank" from near where "rank" <= 20 union all select query, row_id, "rank" from lexical where "rank" <= 20) group by all),
+ best as (select *, row_number() over (partition by query order by score desc, row_id) n from fused),
+ t as (select query, row_id, {_TERMS.format('i.text')} q, {_TERMS.format('c.content')} t from best join eval_items i on i.item_id = query join chunks c using (row_id) where n <= 20),
+ s2 as (select query, row_id, case when len(list_distinct(q)) > 0 then round(len(list_intersect(list_distinct(q), list_distinct(t))) / len(list_distinct(q)), 6) else 0.0 end score from t),
+ r2 as (select *, row_number() over (partition by query order by score desc, row_id)::INT "rank" from s2) select query, row_id vec_id, score, "rank" from r2 where "rank" <= 5""",
+    "query_texts": f"select * from (select item_id, {_strip('nfc_normalize(text)')} \"text\" from eval_items) where \"text\" <> ''",
+    "statistics_merged": "select count(*)::BIGINT chunks, sum(coalesce(token_count, 0))::BIGINT tokens from chunks",
     "resume_pending": "select distinct pmcid from chunks where pmcid not in (select metadata.pmcid from embedded_chunks where metadata.pmcid is not null)",
 }
 
@@ -236,6 +318,7 @@ QUERIES = {
     for f in (
         embed_norms, embed_validate, embed_report, embed_stats, embed_chunks, dense_topk, dense_topk_filtered, term_freq, doc_freq_idf, sparse_vectors,
         bm25_topk, hybrid_rrf, rerank, context_budget, retrieval_metrics, citation_extract, payload_build, payload_missing, index_new_only,
-        index_existing, index_upsert, index_upsert_force, index_dedup, index_validate, resume_pending,
+        index_existing, index_upsert, index_upsert_force, index_dedup, index_validate, resume_pending, index_sample, payload_fallback, embed_batches,
+        embed_memory, sparse_points, hybrid_search, query_texts, statistics_merged,
     )
 }
