@@ -182,7 +182,7 @@ def article(pmcid: str, xml: str | None) -> dict:
     empty = {"pmcid": pmcid, "metadata": None, "abstract": "", "sections": [], "doc_tables": [], "figures": [], "refs": [], "errors": [], "warnings": [], "well_formed": False}
     if not xml:
         return empty | {"errors": ["empty_file"]}
-    if len(xml) < MIN_SIZE:
+    if len(xml) < MIN_SIZE and len(xml.encode("utf-8", "surrogatepass")) < MIN_SIZE:  # bytes
         return empty | {"errors": ["file_too_small"]}
     root, ok = tree(xml)
     if root is None:
@@ -208,14 +208,17 @@ PARSED = (
 )
 
 
-def parse(raw: DataFrame, key: str = "pmcid", xml: str = "xml") -> DataFrame:
-    """One row per article of ``raw``; rows without a key are skipped."""
+def parse(raw: DataFrame, key: str = "pmcid", xml: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per article of ``raw``, with the columns ``keep`` beside it; rows without a key are skipped."""
+    names = ["pmcid", "metadata", "abstract", "sections", "doc_tables", "figures", "refs", "errors", "warnings", "well_formed"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([article(k, x) for k, x in zip(f["k"], f["x"])], columns=["pmcid", "metadata", "abstract", "sections", "doc_tables", "figures", "refs", "errors", "warnings", "well_formed"])
+            out = pd.DataFrame([article(k, x) for k, x in zip(f["k"], f["x"])], columns=names)
+            yield out.assign(**{c: f[c].to_numpy() for c in keep})
 
-    return raw.select(F.col(key).alias("k"), F.col(xml).alias("x")).where("k is not null").mapInPandas(run, PARSED)
+    rows = raw.select(F.col(key).alias("k"), F.col(xml).alias("x"), *keep).where("k is not null")
+    return rows.mapInPandas(run, ", ".join([PARSED, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
 def usable() -> Column:
