@@ -1,16 +1,19 @@
-"""A keyed collection of points as versioned Parquet: create, upsert, skip existing, validate.
+"""A keyed collection of points as Parquet segments: create, upsert, skip existing, validate.
 
-An upsert writes a new version beside the old one and then moves a small pointer file, so readers see either version
-and an interrupted write leaves the old one. Rows are kept apart by type and sorted by journal and year inside files,
-which lets filters skip partitions and row groups.
+An upsert writes a segment with its own rows only and then a manifest, a small file under the next number that lists all
+segments. Readers take the newest complete manifest, so they see either version, and an interrupted upsert leaves the old
+one. Of several rows of a key the one of the newest segment counts. Eight neighbouring segments of a size class are merged
+into one, so a row is rewritten as often as the logarithm of the collection. Rows are kept apart by type and sorted by
+journal and year inside files, which lets filters skip partitions and row groups.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import text as T
@@ -74,8 +77,8 @@ def first_points(points: DataFrame, n: int = 100) -> DataFrame:
 class Collection:
     """One collection in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, dim: int = 768, distance: str = "cosine"):
-        self.spark, self.path, self.name = spark, f"{root.rstrip('/')}/{name}", name
+    def __init__(self, spark: SparkSession, root: str, name: str, dim: int = 768, distance: str = "cosine", key: str = "id"):
+        self.spark, self.path, self.name, self.key = spark, f"{root.rstrip('/')}/{name}", name, key
         self.properties = {"name": name, "dim": dim, "distance": distance, "sparse_modifier": "idf"}
 
     def _fs(self):
@@ -92,18 +95,36 @@ class Collection:
         try:
             jvm = self.spark.sparkContext._jvm
             return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:  # cut off while it was written
+            return None
         finally:
             stream.close()
 
     def _write(self, name: str, value: dict) -> None:
+        """A new file that appears as a whole; one of that name must not be there."""
         fs, path = self._fs()
-        tmp, final = path(f"{self.path}/{name}.tmp"), path(f"{self.path}/{name}")
+        tmp, final = path(f"{self.path}/.{name}.{uuid.uuid4().hex[:8]}"), path(f"{self.path}/{name}")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(tmp, final)
+        if fs.exists(final) or not fs.rename(tmp, final):
+            fs.delete(tmp, False)
+            raise FileExistsError(f"{name} was written by another run")
+
+    def _manifests(self) -> list[str]:
+        """Names of the manifests, oldest first."""
+        fs, path = self._fs()
+        if not fs.exists(path(self.path)):
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(path(self.path)))
+        return sorted(n for n in names if n.startswith("manifest-"))
+
+    def _segments(self) -> tuple[int, list[dict]]:
+        """Number and segments of the newest complete manifest; 0 and none at the start."""
+        for name in reversed(self._manifests()):
+            if (found := self._read(name)) is not None:
+                return int(name[9:-5]), found["segments"]
+        return 0, []
 
     def exists(self) -> bool:
         return self._read("properties.json") is not None
@@ -125,9 +146,17 @@ class Collection:
         self.delete()
         self.create()
 
+    def _rows(self, segments: list[dict], key: str = "id") -> DataFrame | None:
+        """The rows of some segments, of each key the newest."""
+        if not segments:
+            return None
+        if not any(s["replaces"] for s in segments[1:]):  # without replacements no key is twice there
+            return functools.reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{s['name']}") for s in segments])
+        parts = [self.spark.read.parquet(f"{self.path}/{s['name']}").withColumn("_segment", F.lit(n)) for n, s in enumerate(segments)]
+        return latest(functools.reduce(DataFrame.unionByName, parts), key, "_segment").drop("_segment")
+
     def points(self) -> DataFrame | None:
-        head = self._read("version.json")
-        return self.spark.read.parquet(f"{self.path}/{head['version']}") if head else None
+        return self._rows(self._segments()[1], self.key)
 
     def info(self) -> dict:
         """Name, status and number of points; empty if there is no collection."""
@@ -136,14 +165,60 @@ class Collection:
         p = self.points()
         return {"name": self.name, "status": "green", "points_count": p.count() if p is not None else 0}
 
-    def upsert(self, points: DataFrame, force: bool = False, key: str = "id") -> None:
-        new = points.dropDuplicates([key])
-        old = self.points()
-        rows = new if old is None else upserted(old, new, key, force)
-        version = f"v-{uuid.uuid4().hex[:12]}"
+    def _segment(self, rows: DataFrame, replaces: bool) -> dict:
+        name = f"s-{uuid.uuid4().hex[:12]}"
+        seen = Observation()
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
         sort = [c for c in ("chunk_type", "journal", "pub_year") if c in rows.columns]
         writer = (rows.sortWithinPartitions(*sort) if sort else rows).write.option("parquet.bloom.filter.enabled#pmcid", "true")
         if "chunk_type" in rows.columns:
             writer = writer.partitionBy("chunk_type")
-        writer.parquet(f"{self.path}/{version}")
-        self._write("version.json", {"version": version})
+        writer.parquet(f"{self.path}/{name}")
+        return {"name": name, "rows": seen.get["n"], "replaces": replaces}
+
+    def upsert(self, points: DataFrame, force: bool = False, order: tuple[str, ...] = ()) -> None:
+        """Add points; those whose key is there are skipped, or replace it with ``force``.
+
+        Of several new rows of a key the last by ``order`` counts, without an order the greatest one."""
+        if order:
+            new = latest(points, self.key, *order)
+        else:
+            rest = [c for c in points.columns if c != self.key]
+            new = points.groupBy(self.key).agg(F.max(F.struct(*rest)).alias("r")).select(self.key, "r.*").select(points.columns)
+        number, segments = self._segments()
+        old = self._rows(segments, self.key)
+        if old is not None and not force:
+            new = only_new(new, old, self.key)
+        made = self._segment(new, force and old is not None)
+        if made["rows"] or not segments:
+            segments = [*segments, made]
+        while len(segments) >= MERGED and len({_size_class(s) for s in segments[-MERGED:]}) == 1:
+            tail = segments[-MERGED:]
+            segments = [*segments[:-MERGED], self._segment(self._rows(tail, self.key), any(s["replaces"] for s in tail) and len(segments) > MERGED)]
+        self._write(f"manifest-{number + 1:010d}.json", {"segments": segments})
+        self._clean()
+
+    def _clean(self, keep: int = 2) -> None:
+        """Remove manifests but the newest ones, and segments that none of those lists."""
+        fs, path = self._fs()
+        names = self._manifests()
+        kept = [m for m in names[-keep:] if self._read(m) is not None]
+        used = {s["name"] for m in kept for s in self._read(m)["segments"]}
+        if not kept:
+            return
+        for m in names[:-keep]:
+            older = {s["name"] for s in (self._read(m) or {"segments": []})["segments"]}
+            for s in older - used:
+                fs.delete(path(f"{self.path}/{s}"), True)
+            fs.delete(path(f"{self.path}/{m}"), False)
+
+
+MERGED = 8
+
+
+def _size_class(segment: dict) -> int:
+    """Segments of up to 10,000 rows are of class 0, each further class holds eight times as many."""
+    n, size = segment["rows"], 0
+    while n > 10_000:
+        n, size = n // MERGED, size + 1
+    return size

@@ -96,14 +96,14 @@ def stream_latest_chunks(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "chunks")
     path = new_path(spark, "stream")
     stream = intake.table_stream(spark, f"{d}/chunk[s].parquet", source.schema, files_per_batch=64)
-    found = index.Collection(spark, path, "latest", dim=0)
+    found = index.Collection(spark, path, "latest", dim=0, key="chunk_id")
 
     def each(batch: DataFrame, _: int) -> None:
         found.create()
         rows = batch.where("chunk_id is not null").select("chunk_id", "row_id", "created_at")
         old = found.points()
-        rows = rows if old is None else rows.unionByName(old)
-        found.upsert(index.latest(rows, "chunk_id", "created_at", "row_id"), force=True, key="chunk_id")
+        rows = rows if old is None else rows.unionByName(index.only_existing(old, rows, "chunk_id"))
+        found.upsert(rows, force=True, order=("created_at", "row_id"))
 
     intake.run_available(stream, f"{path}/checkpoint", each).awaitTermination()
     return found.points().select("chunk_id", "row_id")

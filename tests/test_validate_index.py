@@ -43,6 +43,53 @@ def test_collection(spark):
     assert c.delete() and not c.exists()
 
 
+def _bytes(spark, c):
+    fs, path = c._fs()
+    return fs.getContentSummary(path(c.path)).getLength()
+
+
+def test_interrupted_and_repeated_upserts(spark, monkeypatch):
+    c = index.Collection(spark, new_path(spark, "c"), "demo")
+    c.create()
+    p = lambda *r: spark.createDataFrame(list(r), "id long, journal string")
+    c.upsert(p((1, "a"), (2, "a")))
+    with monkeypatch.context() as m:
+        m.setattr(c, "_write", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            c.upsert(p((3, "a")))
+    assert {r["id"] for r in c.points().collect()} == {1, 2}
+    fs, path = c._fs()
+    out = fs.create(path(f"{c.path}/manifest-{9:010d}.json"), True)
+    out.write(bytearray(b'{"segments": [{"na'))
+    out.close()
+    assert {r["id"] for r in c.points().collect()} == {1, 2}
+    c.upsert(p((4, "b"), (4, "c"), (1, "z")), force=True)
+    c.upsert(p((4, "b"), (4, "c"), (1, "z")), force=True)
+    assert sorted(map(tuple, c.points().collect())) == [(1, "z"), (2, "a"), (4, "c")]
+    with pytest.raises(FileExistsError):
+        c._write("properties.json", {})
+
+
+def test_last_new_row_counts_by_order(spark):
+    c = index.Collection(spark, new_path(spark, "c"), "demo")
+    c.create()
+    c.upsert(spark.createDataFrame([(1, "z", 1), (1, "a", 2)], "id long, journal string, at int"), order=("at",))
+    assert c.points().first()["journal"] == "a"
+
+
+def test_upserts_write_their_own_rows_and_segments_are_merged(spark):
+    c = index.Collection(spark, new_path(spark, "c"), "demo")
+    c.create()
+    big = spark.range(90_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("journal"))
+    c.upsert(big)
+    size = _bytes(spark, c)
+    for i in range(10):
+        c.upsert(spark.createDataFrame([(i, f"new{i}"), (100_000 + i, "x")], "id long, journal string"), force=True)
+    assert _bytes(spark, c) < 1.1 * size and len(c._segments()[1]) <= 5
+    got = c.points()
+    assert got.count() == 90_010 and got.where("journal like 'new%'").count() == 10
+
+
 def test_stats_of_nothing(spark):
     empty = spark.createDataFrame([], "pmcid string, chunk_type string, token_count int")
     row = stats.corpus_stats(stats.document_stats(empty)).first()
