@@ -3,8 +3,8 @@
 The total of a mix is the largest one that every usable source can supply within its repeats, so that every source
 reaches its share (or a given total). Within a source each text has the same expected number of copies, its source's
 share of the total over the source's tokens. Expected copies are summed along the source, one random offset is added,
-and a text is emitted once per integer that its interval crosses. Texts run in the order of their length, so the shares
-hit the targets closely.
+and a text is emitted once per integer that its interval crosses. Texts run in the order of their length class, so the
+shares hit the targets closely, and of a hash inside it.
 
 Prefix sums are taken in two levels: texts are counted per source and slot (a length class and a hash), slots are summed
 over a table of bounded size, and positions inside a slot come from a window over that slot alone. A source with most of
@@ -21,14 +21,13 @@ Defined results
 
 from __future__ import annotations
 
-import base64
-import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.functions.tokens import _encoding
 from papyrine.scratch import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -39,15 +38,6 @@ def source_name(c: str | Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), "[- ]+", "_"), F.lit(""))
 
 
-@functools.lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def _count(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(path, pattern).encode_ordinary
@@ -90,13 +80,19 @@ def _offset(seed: int) -> Column:
     return F.pmod(F.xxhash64("mix_id", "source", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
 
 
-def mixture(counts: DataFrame, planned: DataFrame, seed: int = 17, slots: int = 64) -> DataFrame:
-    """``(mix_id, id, source, tokens, copies)`` of the texts that a mix holds."""
-    slot = (F.floor(F.log2(F.col("tokens") + 1)) * slots + F.pmod(F.xxhash64("id"), F.lit(slots))).cast("int")
-    placed = counts.withColumn("slot", slot)
-    per_slot = placed.groupBy("source", "slot").agg(F.count("*").alias("n"))  # at most 64 length classes times slots rows per source
+def mixture(counts: DataFrame, planned: DataFrame, seed: int = 17, slots: int | None = None, slot_rows: int = 50_000) -> DataFrame:
+    """``(mix_id, id, source, tokens, copies)`` of the texts that a mix holds.
+
+    A slot is a range of hash values; there are so many of them that it holds about ``slot_rows`` texts even where one
+    source and length class has all of them. The order, and so the result, does not depend on their number.
+    """
+    slots = slots or max(64, counts.count() // slot_rows)
+    hashed = F.shiftrightunsigned(F.xxhash64("id"), 34)  # 30 bits
+    place = F.floor(hashed * F.lit(slots) / (1 << 30))
+    placed = counts.withColumn("hashed", hashed).withColumn("slot", (F.floor(F.log2(F.col("tokens") + 1)) * slots + place).cast("bigint"))
+    per_slot = placed.groupBy("source", "slot").agg(F.count("*").alias("n"))  # length classes times slots rows per source
     before = per_slot.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)))
-    nth = F.row_number().over(Window.partitionBy("source", "slot").orderBy("tokens", "id"))
+    nth = F.row_number().over(Window.partitionBy("source", "slot").orderBy("hashed", "id"))
     at = placed.join(before.select("source", "slot", F.coalesce("before", F.lit(0)).alias("before")), ["source", "slot"]).withColumn("nth", nth + F.col("before"))
     use = planned.where("copies_each > 0").select("mix_id", "source", "copies_each", "repeats", _offset(seed).alias("u"))
     rows = at.join(F.broadcast(use), "source")  # one row per mix and named source

@@ -337,8 +337,8 @@ def all_pairs(pairs: DataFrame, members: DataFrame, params: Sketch = Sketch()) -
 def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """``(kind, id, class_id, links)``: one row per text with a near-duplicate or a copy.
 
-    class_id is the smallest id linked to it over any number of steps; links counts the different other texts that
-    are close to it, and copies of its own text are not counted.
+    class_id is the smallest id linked to it over any number of steps; links counts the other texts that are close to it,
+    its own copies and those of the texts close to it included.
     """
     from papyrine.operators.components import components
 
@@ -346,7 +346,10 @@ def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
     self_links = members.where("id = rep").select(node("id").alias("a"), node("id").alias("b"))
     links = pairs.select(node("a").alias("a"), node("b").alias("b")).unionByName(self_links)
     found = components(links).select("node.kind", F.col("node.id").alias("rep"), F.col("component.id").alias("class_id"))
-    ends = pairs.select("kind", F.explode(F.array("a", "b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("links"))
-    per_rep = found.join(ends, ["kind", "rep"], "left").select("kind", "rep", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    joined = per_rep.join(members.select("kind", "rep", "id"), ["kind", "rep"], "left")
+    copies = members.where("id = rep").select("kind", "rep", "copies")
+    ends = pairs.select("kind", F.col("a").alias("mine"), F.col("b").alias("rep")).unionByName(pairs.select("kind", F.col("b").alias("mine"), F.col("a").alias("rep")))
+    near = ends.join(copies, ["kind", "rep"], "left").groupBy("kind", F.col("mine").alias("rep")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("near"))
+    per_rep = found.join(near, ["kind", "rep"], "left").join(copies, ["kind", "rep"], "left")
+    links = F.coalesce("near", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+    joined = per_rep.select("kind", "rep", "class_id", links.alias("links")).join(members.select("kind", "rep", "id"), ["kind", "rep"], "left")
     return joined.select("kind", F.coalesce("id", "rep").alias("id"), "class_id", "links")

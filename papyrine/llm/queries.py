@@ -92,6 +92,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(planned, mixing.mixture(counts, planned))
 
 
+def p7_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every named source of every mix: its target, and whether the share reached is within a fiftieth of it and no text
+    is repeated too often."""
+    counts, planned = _mix(spark, folder)
+    got = mixing.shares(planned, mixing.mixture(counts, planned))
+    near = F.abs(F.col("reached_share") - F.col("target_share")) <= 0.02
+    return got.join(planned.select("mix_id", "source", "docs"), ["mix_id", "source"]).select(
+        "mix_id", "source", "target_share", "repeats", "docs", near.alias("on_target"), (F.col("most_copies") <= F.col("repeats")).alias("within_repeats")
+    )
+
+
 def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.scores(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "review_labels"), "doc_id", "flagged")
 

@@ -34,3 +34,12 @@ def test_empty(spark):
     d, t = frames(spark, [], [(1, "a", 1.0, 1)])
     counts, planned = M.prepare(d, "doc_id", "text", "source", t)
     assert M.mixture(counts, planned).count() == 0 and M.shares(planned, M.mixture(counts, planned)).first()["reached_tokens"] == 0
+
+
+def test_slots_do_not_change_the_result(spark):
+    """A hot source of one length class is spread over as many slots as its rows need."""
+    docs = [(i, f"text {i % 7} here", "a" if i % 3 else "b", "x", 1) for i in range(600)]
+    d, t = frames(spark, docs, [(1, "a", 1.0, 1), (1, "b", 1.0, 2)])
+    counts, planned = M.prepare(d, "doc_id", "text", "source", t)
+    pick = lambda n: sorted(map(tuple, M.mixture(counts, planned, slots=n).collect()))
+    assert pick(1) == pick(64) == pick(1000) and len(pick(1)) > 100
