@@ -4,7 +4,8 @@ A bounded sample is split by balanced k-means, level by level, until every leaf
 stand for one posting list. Each vector is stored in the list of its nearest centroid and, when it lies on a boundary,
 in further lists whose centroid is hardly farther away. A query searches the centroids along an in-memory neighbour
 graph and probes only lists whose centroid distance is within a ratio of the nearest one. Lists are searched by one
-matrix product each; partial answers are merged per vector.
+matrix product each; partial answers are merged per vector. Beyond ``max_lists`` the lists are coarse ones, and tasks split
+each of them again in the same way.
 
 Defined results
 * A vector is usable if it is not null, has exactly ``dim`` entries, all finite, not all zero. Other rows, and rows
@@ -35,7 +36,8 @@ class Lists:
     """Parameters of the index.
 
     sample_rows bounds the rows that the centroids are fitted on; every row is indexed. max_lists bounds the centroid
-    table that each executor holds (128 floats and 16 links each).
+    table that each executor holds (128 floats and 24 links each); where more lists are needed, each is split again.
+    ask_rows and part_rows bound the rows of one task that probe a list, or stand in one part of a coarse list.
     """
 
     list_rows: int = 256
@@ -44,10 +46,13 @@ class Lists:
     replicas: int = 2
     replica_ratio: float = 1.05
     probes: int = 4
+    inner_probes: int = 3
     probe_ratio: float = 1.18
     block_rows: int = 4_096
+    ask_rows: int = 16_384
+    part_rows: int = 65_536
     links: int = 16
-    beam: int = 12
+    beam: int = 16
 
 
 def unit_rows(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,96 +128,185 @@ def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7) -> tuple[np.nda
 class CentroidGraph:
     """Neighbour graph over the centroids, searched best-first for many queries at once.
 
-    Queries that stand at the same centroid expand it together, by one small matrix product.
+    A search starts from the nearest of the entry points (every ``per_entry``-th centroid, more where they are few), keeps the ``beam`` best centroids
+    met, and opens the ``width`` best of them that are not open yet, until none of those is among the 2 * ``top`` best.
     """
 
-    def __init__(self, centroids: np.ndarray, links: int, seed: int = 11):
+    def __init__(self, centroids: np.ndarray, links: int, per_entry: int = 8, seed: int = 11):
         k = len(centroids)
         self.c = centroids
         deg = min(links, k - 1)
-        self.links = np.empty((k, deg), np.int32)
+        near = np.empty((k, deg), np.int32)
         for s in range(0, k, 2048):
-            near = centroids[s : s + 2048] @ centroids.T
-            near[np.arange(len(near)), np.arange(s, s + len(near))] = -2
-            self.links[s : s + 2048] = np.argpartition(-near, deg - 1, axis=1)[:, :deg] if deg else 0
-        # an edge is walked in both directions, and a ring keeps the graph connected
-        linked = [set(row) for row in self.links.tolist()]
-        for a, row in enumerate(self.links.tolist()):
-            for b in row:
-                if len(linked[b]) < 2 * links:
-                    linked[b].add(a)
-            linked[a].add((a + 1) % k)
-        self.linked = [np.array(sorted(s - {i}), np.int64) for i, s in enumerate(linked)]
-        self.entries = np.random.default_rng(seed).permutation(k)[: max(1, int(np.ceil(2 * np.sqrt(k))))]
-
-    def search(self, q: np.ndarray, top: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+            sims = centroids[s : s + 2048] @ centroids.T
+            sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
+            near[s : s + 2048] = np.argpartition(-sims, deg - 1, axis=1)[:, :deg] if deg else 0
+        # an edge is walked in both directions as far as there is room; a centroid fills its empty places itself
+        back = links // 2
+        self.linked = np.tile(np.arange(k, dtype=np.int32)[:, None], (1, deg + back))
+        self.linked[:, :deg] = near
+        to, by = near.ravel(), np.repeat(np.arange(k, dtype=np.int32), deg)
+        order = np.argsort(to, kind="stable")
+        to, by = to[order], by[order]
+        rank = np.arange(len(to)) - np.searchsorted(to, np.arange(k))[to]
+        self.linked[to[rank < back], deg + rank[rank < back]] = by[rank < back]
+        self.entries = np.random.default_rng(seed).permutation(k).astype(np.int32)[: min(k, int(max(16 * np.sqrt(k), k / per_entry)) + 1)]
+
+    def search(self, q: np.ndarray, top: int, beam: int, width: int = 2, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Indices and cosines of about the ``top`` nearest centroids, nearest first."""
-        k = len(self.c)
-        top, beam = min(top, k), min(beam, k)
-        seen = np.full((len(q), k), -2, np.float32)
-        seen[:, self.entries] = q @ self.c[self.entries].T
-        open_ = seen.copy()
+        top = min(top, len(self.entries))
+        beam = min(max(beam, top, width), len(self.entries))
+        reach = min(beam, 2 * top)
+        s = q @ self.c[self.entries].T
+        at = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
+        ids, s = self.entries[at], np.take_along_axis(s, at, axis=1)
+        opened = np.zeros(s.shape, bool)
         live = np.arange(len(q))
-        for _ in range(4 * beam):
-            best = open_[live].argmax(axis=1)
-            score = open_[live, best]
-            rank = min(beam, k) - 1
-            bar = -np.partition(-seen[live], rank, axis=1)[:, rank]
-            go = (score > -2) & (score >= bar)
-            live, best = live[go], best[go]
+        for _ in range(steps):
+            now = np.where(opened[live], -9, s[live])
+            pick = np.argpartition(-now, min(width, beam) - 1, axis=1)[:, :width]
+            best = np.take_along_axis(now, pick, axis=1).max(axis=1)
+            go = (best > -9) & (best >= -np.partition(-s[live], reach - 1, axis=1)[:, reach - 1])
+            live, pick = live[go], pick[go]
             if not len(live):
                 break
-            open_[live, best] = -2
-            order = np.argsort(best, kind="stable")
-            cuts = np.flatnonzero(np.diff(best[order])) + 1
-            for rows in np.split(order, cuts):
-                near = self.linked[best[rows[0]]]
-                at = live[rows][:, None]
-                fresh = seen[at, near] == -2
-                sims = q[live[rows]] @ self.c[near].T
-                seen[at, near] = np.where(fresh, sims, seen[at, near])
-                open_[at, near] = np.where(fresh, sims, open_[at, near])
-        first = np.argpartition(-seen, top - 1, axis=1)[:, :top]
-        sims = np.take_along_axis(seen, first, axis=1)
-        order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(first, order, axis=1), np.take_along_axis(sims, order, axis=1)
-
-
-def _route(graph, blocks, p: Lists, dim: int):
-    """Rows ``(list, block, id, v, member, asks)``: where a vector is stored and which lists it probes."""
+            mine = opened[live]
+            np.put_along_axis(mine, pick, True, axis=1)
+            near = self.linked[np.take_along_axis(ids[live], pick, axis=1)].reshape(len(live), -1)
+            sims = np.matmul(self.c[near], q[live][:, :, None])[:, :, 0]
+            ids2, s2 = np.concatenate([ids[live], near], axis=1), np.concatenate([s[live], sims], axis=1)
+            open2 = np.concatenate([mine, np.zeros(near.shape, bool)], axis=1)
+            order = np.argsort(ids2 * 2 + ~open2, axis=1, kind="stable")  # of one centroid the open entry stays
+            ids2, s2, open2 = (np.take_along_axis(x, order, axis=1) for x in (ids2, s2, open2))
+            s2[:, 1:][ids2[:, 1:] == ids2[:, :-1]] = -9
+            keep = np.argpartition(-s2, beam - 1, axis=1)[:, :beam]
+            ids[live], s[live], opened[live] = (np.take_along_axis(x, keep, axis=1) for x in (ids2, s2, open2))
+        first = np.argsort(-s, axis=1, kind="stable")[:, :top]
+        return np.take_along_axis(ids, first, axis=1), np.take_along_axis(s, first, axis=1)
+
+
+ROUTED = "list int, block int, part int, id bigint, v binary, member boolean, asks boolean"
+
+
+def _placed(f: pd.DataFrame, lists: np.ndarray, sims: np.ndarray, blocks: np.ndarray, parts: np.ndarray, p: Lists, probes: int) -> pd.DataFrame:
+    """Rows of ``ROUTED``: where each vector is stored and which lists it probes, pruned by the ratio of distances.
+
+    A long list is stored in ``blocks`` and asked in each; where many ask, they stand in ``parts`` and each part holds the block.
+    """
+    far = np.sqrt(np.maximum(0, 2 - 2 * sims))
+    n = np.arange(lists.shape[1])
+    member = (far <= p.replica_ratio * far[:, :1] + 1e-6) & (n < p.replicas) & f["member"].to_numpy()[:, None]
+    asks = (far <= p.probe_ratio * far[:, :1] + 1e-6) & (n < probes) & f["asks"].to_numpy()[:, None]
+    ids = f["id"].to_numpy()
+    out = []
+    for mark, own, other in ((member, blocks, parts), (asks, parts, blocks)):
+        row, col = np.nonzero(mark)
+        lst = lists[row, col]
+        many = other[lst]
+        at = np.repeat(np.arange(len(row)), many)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out.append((row[at], lst[at], (ids[row] % own[lst])[at], nth))
+    (row, lst, block, part), (row2, lst2, part2, block2) = out
+    both = pd.DataFrame({
+        "list": np.concatenate([lst, lst2]).astype(np.int32), "block": np.concatenate([block, block2]).astype(np.int32), "part": np.concatenate([part, part2]).astype(np.int32),
+        "row": np.concatenate([row, row2]), "member": np.repeat([True, False], [len(row), len(row2)]), "asks": np.repeat([False, True], [len(row), len(row2)]),
+    })
+    both = both.groupby(["list", "block", "part", "row"], sort=False, as_index=False).max()  # stored and asked at once: one row
+    return pd.DataFrame({"list": both["list"], "block": both["block"], "part": both["part"], "id": ids[both["row"]], "v": f["v"].to_numpy()[both["row"]], "member": both["member"], "asks": both["asks"]})
+
+
+def _route(graph, sizes, p: Lists, dim: int):
+    """Vectors to the lists of the graph's centroids."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, parts = graph.value, blocks.value
+        g, (blocks, parts) = graph.value, sizes.value
         for whole in frames:
-            rows = max(256, min(4096, 2_000_000 // len(g.c)))  # a batch holds one number per vector and centroid
-            for s in range(0, len(whole), rows):
-                f = whole.iloc[s : s + rows]
+            for s in range(0, len(whole), 1024):
+                f = whole.iloc[s : s + 1024]
                 lists, sims = g.search(_vectors(f["v"], dim), max(p.replicas, p.probes), p.beam)
-                far = np.sqrt(np.maximum(0, 2 - 2 * sims))
-                n = lists.shape[1]
-                member = (far <= p.replica_ratio * far[:, :1] + 1e-6) & (np.arange(n) < p.replicas)
-                asks = (far <= p.probe_ratio * far[:, :1] + 1e-6) & (np.arange(n) < p.probes) & f["asks"].to_numpy()[:, None]
-                row, col = np.nonzero(member | asks)
-                lst = lists[row, col]
-                ids = f["id"].to_numpy()[row]
-                m, a, many = member[row, col], asks[row, col], parts[lst]
-                home = ids % many
-                once = many == 1
-                out = [(row[once], lst[once], home[once], m[once], a[once])]
-                for i in np.flatnonzero(~once):  # a long list: stored in one block, asked in each
-                    for b in range(many[i]):
-                        here = m[i] and b == home[i]
-                        if here or a[i]:
-                            out.append(([row[i]], [lst[i]], [b], [here], [a[i]]))
-                row, lst, block, m, a = (np.concatenate([np.asarray(o[j]) for o in out]) for j in range(5))
-                yield pd.DataFrame({
-                    "list": lst.astype(np.int32), "block": block.astype(np.int32), "id": f["id"].to_numpy()[row],
-                    "v": f["v"].to_numpy()[row], "member": m.astype(bool), "asks": a.astype(bool),
-                })
+                yield _placed(f.assign(member=True), lists, sims, blocks, parts, p, p.probes)
 
     return run
 
 
+def _fit_list(rows: float, p: Lists, dim: int):
+    """Centroids of the lists inside one coarse list, from a sample of its members; about ``rows`` are members in all."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x = np.unique(_vectors(f["v"], dim), axis=0)
+        c, shares = fit_centroids(x, int(min(max(1, round(rows * len(f) / p.list_rows)), len(x))))
+        return pd.DataFrame({"list": [f["list"].iloc[0]], "c": [c.tobytes()], "share": [(shares * rows * len(f)).astype(np.float64).tobytes()]})
+
+    return run
+
+
+def _route_inside(p: Lists, dim: int):
+    """Rows of one part of a coarse list to the lists inside it."""
+
+    def run(f: pd.DataFrame, cents: pd.DataFrame) -> pd.DataFrame:
+        if not len(f):
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("top", "int32"), ("list", "int32"), ("block", "int32"), ("part", "int32"), ("id", "int64"), ("v", "object"), ("member", "bool"), ("asks", "bool"))})
+        if len(cents):
+            c, rows = np.frombuffer(cents["c"].iloc[0], np.float32).reshape(-1, dim), np.frombuffer(cents["share"].iloc[0])
+        else:  # nobody of this list was in the sample
+            c, rows = np.eye(1, dim, dtype=np.float32), np.array([float(len(f))])
+        blocks, parts = _sizes(rows, p)
+        probes = p.inner_probes
+        n = min(len(c), max(p.replicas, probes))
+        out = []
+        for s in range(0, len(f), 4096):
+            b = f.iloc[s : s + 4096].reset_index(drop=True)
+            sims = _vectors(b["v"], dim) @ c.T
+            lists = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+            near = np.take_along_axis(sims, lists, axis=1)
+            order = np.argsort(-near, axis=1, kind="stable")
+            out.append(_placed(b, np.take_along_axis(lists, order, axis=1), np.take_along_axis(near, order, axis=1), blocks, parts, p, probes))
+        return pd.concat(out).assign(top=f["list"].iloc[0])
+
+    return run
+
+
+def _sizes(rows: np.ndarray, p: Lists) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks and parts of lists that hold about so many rows."""
+    return np.maximum(1, np.ceil(rows / p.block_rows)).astype(np.int64), np.maximum(1, np.ceil(rows * p.probes / p.ask_rows)).astype(np.int64)
+
+
+def _routed(reps: DataFrame, sample: np.ndarray, total: int, p: Lists, dim: int) -> DataFrame:
+    """Every vector in its lists. Where ``max_lists`` are too few, those are coarse ones, and each of them is split again by
+    a task of its own; so lists keep their size whatever the number of vectors."""
+    wanted = max(1, round(total / p.list_rows))
+    lists = int(min(wanted, p.max_lists, len(sample)))
+    centroids, shares = fit_centroids(sample, lists)
+    context = reps.sparkSession.sparkContext
+    graph = context.broadcast(CentroidGraph(centroids, p.links))  # at most max_lists centroids
+    deep = wanted > 2 * lists
+    coarse = np.ones(len(centroids), np.int64)
+    sizes = context.broadcast((coarse, coarse) if deep else _sizes(shares * total, p))
+    routed = reps.mapInPandas(_route(graph, sizes, p, dim), ROUTED).withColumn("top", F.lit(0))
+    if not deep:
+        return routed
+    routed = materialize(routed.select("list", "id", "v", "member", "asks"), "coarse")
+    rate = min(1.0, 32.0 / p.list_rows)  # members of the sample per list inside
+    some = routed.where("member").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_003)) < F.lit(int(1_000_003 * rate) + 1))
+    cents = materialize(some.groupBy("list").applyInPandas(_fit_list(1 / rate, p, dim), "list int, c binary, share binary"), "centroids")
+    parts = context.broadcast(np.maximum(1, np.ceil(shares * total * (p.replicas + p.probes) / p.part_rows)).astype(np.int64))
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(slice=(f["id"].to_numpy() % parts.value[f["list"].to_numpy()]).astype(np.int32))
+
+    def repeated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            many = parts.value[f["list"].to_numpy()]
+            at = np.repeat(np.arange(len(f)), many)
+            yield f.iloc[at].assign(slice=(np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32))
+
+    rows = routed.mapInPandas(spread, "list int, id bigint, v binary, member boolean, asks boolean, slice int")
+    cents = cents.mapInPandas(repeated, "list int, c binary, share binary, slice int")
+    both = rows.groupBy("list", "slice").cogroup(cents.groupBy("list", "slice"))
+    return both.applyInPandas(_route_inside(p, dim), "top int, " + ROUTED)
+
+
 def _search_list(k: int, dim: int):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         x, ids = _vectors(f["v"], dim), f["id"].to_numpy()
@@ -265,14 +359,8 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 128, as
     part = min(1.0, params.sample_rows / total)
     rows = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * part) + 1)).select("v").toPandas()
     sample = np.unique(_vectors(rows["v"], dim), axis=0) if len(rows) else np.eye(1, dim, dtype=np.float32)
-    lists = int(min(max(1, round(total / params.list_rows)), params.max_lists, len(sample)))
-    centroids, shares = fit_centroids(sample, lists)
-    many = np.maximum(1, np.ceil(shares * total / params.block_rows)).astype(np.int64)
-    graph = spark.sparkContext.broadcast(CentroidGraph(centroids, params.links))  # at most max_lists centroids
-    blocks = spark.sparkContext.broadcast(many)
-
-    routed = reps.mapInPandas(_route(graph, blocks, params, dim), "list int, block int, id bigint, v binary, member boolean, asks boolean")
-    hits = routed.groupBy("list", "block").applyInPandas(_search_list(k, dim), "q bigint, c bigint, far double")
+    routed = _routed(reps, sample, total, params, dim)
+    hits = routed.groupBy("top", "list", "block", "part").applyInPandas(_search_list(k, dim), "q bigint, c bigint, far double")
     near = hits.groupBy("q").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "c"))), 1, k).alias("near"))
     flat = near.select("q", F.explode("near").alias("x")).select("q", F.col("x.far").alias("far"), F.col("x.c").alias("c"))
     if any_copies:

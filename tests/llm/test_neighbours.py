@@ -65,3 +65,38 @@ def test_graph_finds_the_nearest_centroid():
 def test_null_entries_in_arrow():
     at, x = unit_rows(pa.array([[1.0, None], [3.0, 4.0], None], pa.list_(pa.float32())), 2)
     assert at.tolist() == [1] and np.allclose(x, [[0.6, 0.8]])
+
+
+def clustered(n, dim, clusters, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(clusters, dim))
+    x = (base[rng.integers(0, clusters, n)] + 0.6 * rng.normal(size=(n, dim))).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_lists_inside_coarse_lists(spark):
+    """More lists than the centroid table may hold: each coarse list is split by a task of its own."""
+    x = clustered(6000, 32, 60, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {(a, b) for a, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for b in row}
+    for more in ({}, {"part_rows": 500, "ask_rows": 100, "block_rows": 40}):
+        near = knn(df, "vec_id", "embedding", dim=32, params=Lists(list_rows=64, max_lists=12, **more))
+        got = {(r["id"], r["neighbour"]) for r in near.collect()}
+        assert len(want & got) / len(want) >= 0.95 and len(got) > 29_900
+
+
+def test_asking_rows_are_split(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    pick = lambda p: {(r["id"], r["neighbour"], r["rank"]) for r in knn(frame(spark, rows), "vec_id", "embedding", k=2, dim=4, params=p).collect()}
+    assert pick(Lists(list_rows=1000)) == pick(Lists(list_rows=1000, block_rows=70, ask_rows=200))
+
+
+def test_graph_of_many_centroids():
+    c = clustered(16_384, 64, 400, 3)
+    rng = np.random.default_rng(4)
+    q = c[rng.integers(0, len(c), 1000)] + 0.05 * rng.normal(size=(1000, 64)).astype(np.float32)
+    got, _ = CentroidGraph(c, 16).search(q, 4, Lists().beam)
+    assert (got[:, 0] == (q @ c.T).argmax(axis=1)).mean() >= 0.95
