@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import argparse
 import importlib.util
+import os
+import shutil
 import signal
 import sys
 from dataclasses import replace
+from pathlib import Path
 
 from papyrine.config import Settings
 from papyrine.log import stage_logger
@@ -28,7 +31,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--pmcid", default=None)
         c.add_argument("--data-dir", default=None)
         if name == "ingest":
-            c.add_argument("--source", required=True, help="folder of XML files")
+            c.add_argument("--source", required=True, help="folder of XML files, with JSON records beside them where a query is given; or an address with {pmcid}")
+            c.add_argument("--search", default=None, help="address of a search service")
             c.add_argument("--query", default="")
             c.add_argument("--year", type=int)
             c.add_argument("--journal")
@@ -45,7 +49,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def check() -> dict[str, bool]:
-    return {m: importlib.util.find_spec(m) is not None for m in ("pyspark", "pyarrow", "pandas", "numpy", "tiktoken")}
+    """Modules, Java, the Python version, and whether the data folder can be written."""
+    found = {m: importlib.util.find_spec(m) is not None for m in ("pyspark", "pyarrow", "pandas", "numpy", "tiktoken")}
+    folder = Path(Settings.from_env().data_dir)
+    place = next(p for p in (folder, *folder.absolute().parents) if p.exists())
+    return found | {"java": bool(shutil.which("java") or os.environ.get("JAVA_HOME")), "python >= 3.10": sys.version_info >= (3, 10), f"{folder} writable": os.access(place, os.W_OK)}
 
 
 def stop_gently(spark) -> None:
@@ -71,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
         print(*(f"{k}: {'ok' if v else 'missing'}" for k, v in found.items()), sep="\n")
         return int(not all(found.values()))
     from papyrine.plans.pipelines import Run
-    from papyrine.sources import files
+    from papyrine.sources import fetch, files
 
     if getattr(a, "batch_size", None):
         settings = replace(settings, **{"embedding_batch_size" if a.command == "embed" else "indexing_batch_size": a.batch_size})
@@ -82,12 +90,21 @@ def main(argv: list[str] | None = None) -> int:
     force = a.force or not a.resume
     try:
         if a.command == "ingest":
-            raw = files.xml_files(spark, a.source, a.pmcid)
-            out = run.ingest(raw.select("pmcid"), raw, force, a.limit)
+            remote = "{pmcid}" in a.source or "{number}" in a.source
+            if a.search or a.query or a.year or a.journal:
+                found = run.search(a.query, a.year, a.journal, a.limit, **({"url": a.search} if a.search else {"path": a.source}))
+                raw = run.fetch(found, fetch.FromUrl(a.source, settings.timeout)) if remote else run.fetch(found, fetch.FromFolder(a.source), delay=0)
+            elif remote:
+                found = spark.createDataFrame([(a.pmcid,)], "pmcid string")
+                raw = run.fetch(found, fetch.FromUrl(a.source, settings.timeout))
+            else:
+                found = raw = files.xml_files(spark, a.source, a.pmcid)
+            raw = raw.persist()  # each text is fetched once
+            out = run.ingest(found.select("pmcid"), raw, force, a.limit)
         elif a.command == "embed":
-            out = run.embed(force, a.model, a.pmcid, a.limit)
+            out = run.embed(force, a.model, a.pmcid, a.limit, a.device)
         elif a.command == "index":
-            out = run.index(force, a.recreate, a.pmcid)
+            out = run.index(force, a.recreate, a.pmcid, a.limit)
         else:
             out = getattr(run, a.command)(force, a.pmcid, a.limit)
         log.info("done: %s", out.toJSON().collect())  # one statistics row

@@ -47,10 +47,11 @@ class HashingEmbedder:
 MODELS: dict[str, Callable[[int], Embedder]] = {"hashing": HashingEmbedder}
 
 
-def embed(chunks: DataFrame, model: str = "hashing", dim: int = 768, batch: int = 32) -> DataFrame:
-    """``(chunk_id, embedding, metadata, metadata_header, content, embedding_model, embedding_dimension)``.
+def embed(chunks: DataFrame, model: str = "hashing", dim: int = 768, batch: int = 32, on: str | None = None) -> DataFrame:
+    """``(chunk_id, embedding, metadata, metadata_header, content, embedding_model, embedding_dimension, generated_at)``.
 
-    Chunks whose text is blank are skipped. The content is carried along for the sparse index.
+    Models with a method ``to`` are put on the device ``on``, or the one that Spark has assigned. Chunks whose text is blank
+    are skipped. The content is carried along for the sparse index.
     """
     if batch <= 0:
         raise ValueError("the batch size must be positive")
@@ -59,6 +60,8 @@ def embed(chunks: DataFrame, model: str = "hashing", dim: int = 768, batch: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = MODELS[model](dim)
+        if hasattr(m, "to"):
+            m.to(device(on))
         for whole in batches:
             for s in range(0, whole.num_rows, batch):
                 b = whole.slice(s, batch)
@@ -68,7 +71,7 @@ def embed(chunks: DataFrame, model: str = "hashing", dim: int = 768, batch: int
 
     kept = rows.schema["metadata"].dataType.simpleString()
     out = rows.mapInArrow(run, f"chunk_id string, metadata {kept}, metadata_header string, content string, embedding array<float>")
-    return out.withColumn("embedding_model", F.lit(MODELS[model](dim).name)).withColumn("embedding_dimension", F.lit(dim))
+    return out.withColumn("embedding_model", F.lit(MODELS[model](dim).name)).withColumn("embedding_dimension", F.lit(dim)).withColumn("generated_at", F.current_timestamp())
 
 
 def batch_numbers(df: DataFrame, size: int, order: str) -> DataFrame:

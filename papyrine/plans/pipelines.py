@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from papyrine.config import Settings
 from papyrine.functions.vectors import norm
 from papyrine.operators import articles, chunking, embedding, index, stats, validate
-from papyrine.sources import files
+from papyrine.sources import fetch, files, search
 
 
 @dataclass
@@ -44,6 +44,18 @@ class Run:
         else:
             files.append(df, self.path(stage), partition_by)
 
+    def search(self, query: str = "", year: int | None = None, journal: str | None = None, limit: int | None = None, **where) -> DataFrame:
+        """``(pmcid, rank)`` of a search; ``where`` names the service (``url``) or the folder of records (``path``)."""
+        search.register(self.spark)
+        s = self.settings
+        asked = {"query": query, "year": year, "journal": journal, "limit": limit or s.max_downloads, "delay": s.request_delay if "url" in where else 0, "retries": s.max_retries, "timeout": s.timeout, **where}
+        return self.spark.read.format("article_search").options(**{k: str(v) for k, v in asked.items() if v is not None}).load()
+
+    def fetch(self, found: DataFrame, opener, tasks: int = 1, delay: float | None = None) -> DataFrame:
+        """Texts of search results, under the settings' rate limit and retries."""
+        s = self.settings
+        return fetch.fetch(found, opener, s.request_delay if delay is None else delay, s.max_retries, tasks=tasks)
+
     def ingest(self, found: DataFrame, fetched: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
         """Search results ``found(pmcid)`` with texts ``fetched(pmcid, xml)`` to the raw stage and the quarantine.
 
@@ -99,14 +111,14 @@ class Run:
         checked.unpersist()
         return out
 
-    def embed(self, force: bool = False, model: str = "hashing", target: str | None = None, limit: int | None = None) -> DataFrame:
+    def embed(self, force: bool = False, model: str = "hashing", target: str | None = None, limit: int | None = None, device: str | None = None) -> DataFrame:
         began = time.time()
         chunks = files.stage_table(self.spark, self.path("chunks"))
         if chunks is None:
             return self._statistics("embed", self.spark.createDataFrame([(0,)], "vectors int"), began)
         chunks = chunks.where(F.col("pmcid") == target) if target else chunks
         todo, _ = self._pending(chunks, "embeddings", "chunk_id", force, limit)
-        made = embedding.embed(todo, model, self.settings.embedding_dim, self.settings.embedding_batch_size).persist()
+        made = embedding.embed(todo, model, self.settings.embedding_dim, self.settings.embedding_batch_size, device).persist()
         good, bad = validate.split(made, validate.vector_reasons("embedding", self.settings.embedding_dim))
         self._write(good, "embeddings", force)
         files.append(bad.select("chunk_id", "reasons"), f"{self.path('quarantine')}/embeddings")
@@ -114,7 +126,7 @@ class Run:
         made.unpersist()
         return out
 
-    def index(self, force: bool = False, recreate: bool = False, target: str | None = None) -> DataFrame:
+    def index(self, force: bool = False, recreate: bool = False, target: str | None = None, limit: int | None = None) -> DataFrame:
         began = time.time()
         collection = index.Collection(self.spark, self.path("index"), self.settings.collection_name, self.settings.embedding_dim)
         if recreate:
@@ -124,13 +136,18 @@ class Run:
         if vectors is None or chunks is None:
             return self._statistics("index", self.spark.createDataFrame([(0, 0)], "indexed int, skipped int"), began)
         vectors = vectors.where(F.col("metadata.pmcid") == target) if target else vectors
+        vectors = vectors.orderBy("chunk_id").limit(limit) if limit else vectors
         points = index.build_points(vectors, chunks).persist()
         before = collection.points()
         seen = 0 if before is None else index.only_existing(points, before, "id").count()
         total = points.count()
         collection.upsert(points, force=force)
         report = validate.index_report(collection.points(), None, self.settings.embedding_dim)
-        counts = report.withColumns({"indexed": F.lit(total if force else total - seen), "skipped": F.lit(0 if force else seen)})
+        indexed, took = (total if force else total - seen), max(time.time() - began, 1e-9)
+        counts = report.withColumns({
+            "indexed": F.lit(indexed), "skipped": F.lit(0 if force else seen), "batches": F.lit(-(-indexed // self.settings.indexing_batch_size)),
+            "points_per_second": F.lit(round(indexed / took, 2)), "seconds_per_batch": F.lit(round(took / max(1, -(-indexed // self.settings.indexing_batch_size)), 4)),
+        })
         out = self._statistics("index", counts, began)
         points.unpersist()
         return out

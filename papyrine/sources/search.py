@@ -1,14 +1,17 @@
-"""Article search as a Spark data source, over a folder of article records in place of a remote service.
+"""Article search as a Spark data source, over a service or a folder of article records.
 
-``spark.read.format("article_search").option("path", ...).option("query", ...)`` gives ``(pmcid, rank)``: records whose
-title or keywords hold every word of the query, with optional year and journal, ranked by hits and id. One partition
-serves the result list, and a minimum gap between fetches can be kept, as a remote service would ask for.
+``spark.read.format("article_search")`` with the option ``url`` asks a service page by page, at most one request per ``delay``
+seconds, with retries; with ``path`` it searches a folder of JSON records. It gives ``(pmcid, rank)``: records whose title
+or keywords hold every word of ``query``, with optional ``year`` and ``journal``, ranked by hits and id. One partition serves
+the result list.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import urllib.parse
+import urllib.request
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -53,6 +56,32 @@ class SearchReader(DataSourceReader):
         self.options = options
 
     def read(self, partition) -> Iterator[tuple]:
+        return self._asked() if self.options.get("url") else self._searched()
+
+    def _asked(self) -> Iterator[tuple]:
+        """Pages of a service's answers, until the total or the limit is reached."""
+        o = self.options
+        gate, limit, page = RateLimit(float(o.get("delay", 0.3))), int(o.get("limit", 0) or 0), int(o.get("page", 500))
+        parts = [o.get("query", "").strip(), "open access[filter]", f"{o['year']}[pdat]" if o.get("year") else "", f'"{o["journal"]}"[journal]' if o.get("journal") else ""]
+        term, rank, seen = " AND ".join(p for p in parts if p), 0, set()
+        while True:
+            ask = urllib.parse.urlencode({"term": term, "retstart": rank, "retmax": min(page, limit - rank) if limit else page, "retmode": "json"})
+
+            def once():
+                gate.wait()
+                with urllib.request.urlopen(f"{o['url']}?{ask}", timeout=float(o.get("timeout", 20))) as answer:
+                    return search_response(answer.read().decode("utf-8"))
+
+            got = retrying(once, int(o.get("retries", 3)), float(o.get("base", 1.0)))
+            for pmcid in got["pmcids"]:
+                rank += 1
+                if pmcid not in seen:
+                    seen.add(pmcid)
+                    yield (pmcid, rank)
+            if not got["pmcids"] or rank >= (limit or got["total_count"]):
+                return
+
+    def _searched(self) -> Iterator[tuple]:
         words = self.options.get("query", "").lower().split()
         year, journal = self.options.get("year"), self.options.get("journal")
         limit = int(self.options.get("limit", 0) or 0)
