@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     if getattr(a, "data_dir", None):
         settings = replace(settings, data_dir=a.data_dir)
     if a.command == "setup":
-        print(*settings.make_dirs(), sep="\n")
+        print(*settings.make_dirs(local_session() if "://" in settings.data_dir else None), sep="\n")
         return 0
     if a.command == "check":
         found = check()

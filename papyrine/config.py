@@ -46,9 +46,13 @@ class Settings:
     def stage_dir(self, stage: str) -> str:
         return f"{self.data_dir}/{stage}"
 
-    def make_dirs(self) -> list[str]:
-        made = []
-        for stage in ("raw", "metadata", "canonical", "chunks", "embeddings", "index", "stats", "quarantine"):
-            Path(self.stage_dir(stage)).mkdir(parents=True, exist_ok=True)
-            made.append(self.stage_dir(stage))
+    def make_dirs(self, spark=None) -> list[str]:
+        """The folders of all stages; through the session's file systems where the data folder names one."""
+        made = [self.stage_dir(stage) for stage in ("raw", "metadata", "canonical", "chunks", "embeddings", "index", "stats", "quarantine")]
+        for folder in made:
+            if "://" in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+            else:
+                Path(folder).mkdir(parents=True, exist_ok=True)
         return made

@@ -91,6 +91,31 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows counted on a stream, whose last state is written as a table."""
+    source = table(spark, d, "events")
+    path = new_path(spark, "windows")
+    stream = intake.table_stream(spark, f"{d}/event[s].parquet", source.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def each(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state")
+
+    counted = intake.counts_by_window(stream)
+    counted.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/state").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions closed on a stream: those that the watermark has passed, each once."""
+    source = table(spark, d, "events")
+    path = new_path(spark, "sessions")
+    stream = intake.table_stream(spark, f"{d}/event[s].parquet", source.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = intake.sessions(stream)
+    closed.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/closed", format="parquet").awaitTermination()
+    out = spark.read.schema(closed.schema).parquet(f"{path}/closed")
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
 def stream_latest_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks taken in as a stream into a keyed collection, each batch once, the last row per id kept."""
     source = table(spark, d, "chunks")
@@ -125,6 +150,8 @@ ORACLES = {
     "events_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2",
     "events_sessions": "select user_id, min(ts) session_start, max(ts) + interval 30 minutes session_end, count(*) n from (select *, sum(new) over (partition by user_id order by ts, event_id) s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end new from events)) group by user_id, s",
     "event_props": "select key, count(*) n from (select unnest(json_keys(props)) key from events) group by 1",
+    "stream_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2",
+    "stream_sessions": "select * from (select user_id, min(ts) session_start, max(ts) + interval 30 minutes session_end, count(*) n from (select *, sum(new) over (partition by user_id order by ts, event_id) s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end new from events)) group by user_id, s) where session_end <= (select max(ts) - interval 10 minutes from events)",
     "stream_latest_chunks": "select chunk_id, row_id from (select chunk_id, row_id, row_number() over (partition by chunk_id order by created_at desc nulls last, row_id desc) n from chunks where chunk_id is not null) where n = 1",
 }
 
@@ -132,6 +159,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         pricing_summary, shipping_priority, local_supplier_volume, revenue_change, order_rollup, part_cube, customer_rank, status_pivot,
-        customers_without_urgent_orders, nation_set_ops, events_asof, events_windows, events_sessions, event_props, stream_latest_chunks,
+        customers_without_urgent_orders, nation_set_ops, events_asof, events_windows, events_sessions, event_props, stream_windows, stream_sessions, stream_latest_chunks,
     )
 }
