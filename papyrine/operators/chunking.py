@@ -30,6 +30,7 @@ def pack(text: str | None, counter, target: int, most: int, overlap: int) -> lis
     sentences = [s for s in (p.strip() for p in GAP.split(text or "")) if s]
     out: list[str] = []
     held: list[tuple[str, int]] = []
+    size = 0  # sum of the sentences' tokens; behind an overlap, the tokens of the joined text
 
     def flush() -> None:
         if held:
@@ -40,10 +41,11 @@ def pack(text: str | None, counter, target: int, most: int, overlap: int) -> lis
         n = len(pieces)
         if n > most:
             flush()
-            held = []
+            held, size = [], 0
             out += [p for p in (counter.join(part) for part in hard_parts(pieces, target)) if p]
-        elif sum(k for _, k in held) + n <= target or not held:
+        elif size + n <= target or not held:
             held.append((s, n))
+            size += n
         else:
             flush()
             tail: list[tuple[str, int]] = []
@@ -54,6 +56,7 @@ def pack(text: str | None, counter, target: int, most: int, overlap: int) -> lis
                 tail.insert(0, item)
                 room -= item[1]
             held = [*tail, (s, n)]
+            size = len(counter.split(" ".join(t for t, _ in held)))
     flush()
     return [(i, t, len(counter.split(t))) for i, t in enumerate(out)]
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrine.functions import registry
 from papyrine.functions.vectors import norm
 from papyrine.operators import embedding, index, retrieval, sparse, stats, validate
-from papyrine.plans.text_queries import BLANK, _point, _strip, _words
+from papyrine.plans.text_queries import BLANK, _point, _slug, _strip, _words, _ws
 from papyrine.tables import table
 
 DIM = 128
@@ -219,6 +220,16 @@ def query_texts(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.prepare_queries(table(spark, d, "eval_items")).select("item_id", "text")
 
 
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions registered for SQL users."""
+    registry.register(spark)
+    table(spark, d, "chunks").createOrReplaceTempView("papyrine_chunks")
+    return spark.sql(
+        "select row_id, normalize_whitespace(content) flat, slugify(metadata.title) slug, point_id(chunk_id) point, round(rrf(cast(row_id % 50 as int), 60), 9) fused, "
+        "round(bm25(cast(token_count as double), 3D, 1000D, cast(length(content) as double), 80D), 6) weight from papyrine_chunks where chunk_id <> ''"
+    )
+
+
 def statistics_merged(spark: SparkSession, d: str) -> DataFrame:
     """Counters of two runs, over rows with even and with odd numbers, merged into totals."""
     c = table(spark, d, "chunks").groupBy((F.col("row_id") % 2 == 0).alias("first")).agg(F.count("*").alias("chunks"), F.sum(F.coalesce("token_count", F.lit(0))).alias("tokens"))
@@ -309,6 +320,8 @@ ORACLES = {
  s2 as (select query, row_id, case when len(list_distinct(q)) > 0 then round(len(list_intersect(list_distinct(q), list_distinct(t))) / len(list_distinct(q)), 6) else 0.0 end score from t),
  r2 as (select *, row_number() over (partition by query order by score desc, row_id)::INT "rank" from s2) select query, row_id vec_id, score, "rank" from r2 where "rank" <= 5""",
     "query_texts": f"select * from (select item_id, {_strip('nfc_normalize(text)')} \"text\" from eval_items) where \"text\" <> ''",
+    "sql_functions": f"""select row_id, {_ws('content')} flat, {_slug('metadata.title')} slug, {_point('chunk_id')} point, round(1.0 / (60 + row_id % 50), 9) fused,
+ round(ln(1 + 997.5 / 3.5) * token_count * 2.5 / (token_count + 1.5 * (0.25 + 0.75 * length(content) / 80)), 6) weight from chunks where chunk_id <> ''""",
     "statistics_merged": "select count(*)::BIGINT chunks, sum(coalesce(token_count, 0))::BIGINT tokens from chunks",
     "resume_pending": "select distinct pmcid from chunks where pmcid not in (select metadata.pmcid from embedded_chunks where metadata.pmcid is not null)",
 }
@@ -319,6 +332,6 @@ QUERIES = {
         embed_norms, embed_validate, embed_report, embed_stats, embed_chunks, dense_topk, dense_topk_filtered, term_freq, doc_freq_idf, sparse_vectors,
         bm25_topk, hybrid_rrf, rerank, context_budget, retrieval_metrics, citation_extract, payload_build, payload_missing, index_new_only,
         index_existing, index_upsert, index_upsert_force, index_dedup, index_validate, resume_pending, index_sample, payload_fallback, embed_batches,
-        embed_memory, sparse_points, hybrid_search, query_texts, statistics_merged,
+        embed_memory, sparse_points, hybrid_search, query_texts, sql_functions, statistics_merged,
     )
 }

@@ -95,3 +95,17 @@ def test_sql_functions(spark):
     names = registry.register(spark)
     assert {"slugify", "point_id", "rrf", "bm25"} <= set(names)
     assert spark.sql("select slugify('A b'), rrf(1, 60)").first()[0] == "a_b"
+
+
+def test_tokens_behind_an_overlap_are_those_of_the_joined_text():
+    """Two letters are a token, blanks included: joined texts have other tokens than their sentences."""
+
+    class Pairs:
+        split = staticmethod(lambda t: [t[i : i + 2] for i in range(0, len(t), 2)])
+        join = staticmethod("".join)
+
+    sentences = ["aaa.", "bbb.", "ccc.", "ddd."]  # 2 tokens each, 5 for two joined by a blank
+    got = [t for _, t, _ in chunking.pack(" ".join(sentences), Pairs, target=6, most=9, overlap=2)]
+    assert got == ["aaa. bbb. ccc.", "ccc. ddd."]
+    assert [t for _, t, _ in chunking.pack(" ".join([*sentences, "e."]), Pairs, target=6, most=9, overlap=2)][-1] == "ccc. ddd. e."
+    assert [t for _, t, _ in chunking.pack(" ".join([*sentences, "eee."]), Pairs, target=6, most=9, overlap=2)][-1] == "ddd. eee."
