@@ -379,5 +379,8 @@ def _expand(flat: DataFrame, keyed: DataFrame, copies: DataFrame, k: int, asked)
     own = copies.select(F.col("rep").alias("q"), F.lit(0.0).alias("far"), F.explode("ids").alias("c"))
     near = wide.unionByName(own).groupBy("q").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "c"))), 1, k + 1).alias("near"))
     members = keyed.join(copies.select("h", "h2", "rep"), ["h", "h2"]).select(F.col("rep").alias("q"), F.col("id").alias("member"))
-    out = near.join(members, "q", "left").select(F.coalesce("member", "q").alias("q"), F.explode("near").alias("x"))
+    # a direction with very many copies is split by adaptive execution, which it could not be in an outer join
+    many = members.join(near, "q").select(F.col("member").alias("q"), "near")
+    lone = near.join(copies.select(F.col("rep").alias("q")), "q", "left_anti").select("q", "near")
+    out = many.unionByName(lone).select("q", F.explode("near").alias("x"))
     return out.select("q", F.col("x.far").alias("far"), F.col("x.c").alias("c")).where((F.col("q") != F.col("c")) & asked(F.col("q")))
