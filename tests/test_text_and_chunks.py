@@ -84,7 +84,12 @@ def test_all_chunk_types(spark):
         "pmcid string, title string, journal string, pub_year int, abstract string, doc_tables array<struct<id string, caption string, markdown string, section string>>, figures array<struct<id string, caption string>>",
     )
     sections = spark.createDataFrame([("P1", 0, ["A"], "One. Two."), ("P1", 1, ["A", "B"], ""), ("P9", 0, ["A"], "No document.")], "pmcid string, ord int, section_path array<string>, content string")
-    rows = {r["chunk_type"]: r for r in chunking.chunk_documents(docs, sections, s=Settings(chunk_target_tokens=50)).collect()}
+    made = chunking.chunk_documents(docs, sections, s=Settings(chunk_target_tokens=50)).collect()
+    rows = {r["chunk_type"]: r for r in made if r["pmcid"] == "P1"}
+    orphan = [r for r in made if r["pmcid"] == "P9"]
+    assert len(orphan) == 1 and orphan[0]["metadata_header"] == "PMCID: P9\nSection: A" and len(made) == 5
+    own = sections.join(docs.select("pmcid", "title", "journal", "pub_year"), "pmcid", "left")  # metadata carried along
+    assert sorted(map(str, chunking.chunk_documents(docs, own, s=Settings(chunk_target_tokens=50)).collect())) == sorted(map(str, made))
     assert set(rows) == {"ABSTRACT", "TEXT", "TABLE", "FIGURE_CAPTION"}
     assert rows["TABLE"]["content"] == "Cap\n\n| a |" and rows["TABLE"]["chunk_id"] == "P1_t1_000"
     assert rows["FIGURE_CAPTION"]["metadata"]["section"] == "Figures"
