@@ -71,6 +71,17 @@ class _Best:
         keep = order[rank < self.k]
         self.rows = (q[rank < self.k], c[keep], s[keep])
 
+    def floor(self, queries: int) -> np.ndarray:
+        """The score that a row must reach to be among the k best of its query."""
+        q, _, s = self.rows
+        n = np.bincount(q, minlength=queries)
+        out = np.full(queries, -np.inf)
+        if len(q):
+            some = n > 0
+            lowest = np.minimum.reduceat(s, (np.cumsum(n) - n)[some])
+            out[some] = np.where(n[some] == self.k, lowest, -np.inf)
+        return out
+
     def batch(self, ids: np.ndarray) -> pa.RecordBatch:
         q, c, s = self.rows
         return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], ["query", "key", "score"])
@@ -80,7 +91,6 @@ def _score(sent, dim: int, k: int, digits: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
         best = _Best(k)
-        floor = np.full(len(ids), -3.0)  # what a row must reach to be among the k best of its query
         for b in batches_of(batches, 2048):
             at, x = matrix(b.column(1), dim)
             size = np.linalg.norm(x, axis=1)
@@ -91,16 +101,11 @@ def _score(sent, dim: int, k: int, digits: int, exclude_self: bool):
             s = np.round(q @ (x / size[:, None]).T, digits)
             if exclude_self:
                 s[ids[:, None] == keys[None, :]] = -9
+            cut = best.floor(len(ids))
             if s.shape[1] > k:
-                cut = np.maximum(floor, -np.partition(-s, k - 1, axis=1)[:, k - 1])
-            else:
-                cut = floor
+                cut = np.maximum(cut, -np.partition(-s, k - 1, axis=1)[:, k - 1])
             row, col = np.nonzero((s >= cut[:, None]) & (s > -9))
             best.add(row, keys[col], s[row, col])
-            row, _, score = best.rows
-            n = np.bincount(row, minlength=len(ids))
-            full = n == k
-            floor[full] = np.minimum.reduceat(score, np.concatenate([[0], np.cumsum(n[n > 0])[:-1]]))[full[n > 0]]
         yield best.batch(ids)
 
     return run
@@ -162,8 +167,15 @@ def bm25_topk(docs: DataFrame, key: str, queries: DataFrame, query_key: str, k:
             part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / average))
             many = start[term + 1] - start[term]
             query = who[by[np.repeat(start[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())]]
-            pair, inverse = np.unique(query * len(size) + np.repeat(row, many), return_inverse=True)
-            total = np.round(np.bincount(inverse, np.repeat(part, many)), digits)
+            pair = query * len(size) + np.repeat(row, many)
+            if len(ids) * len(size) <= 8_000_000:  # one number per query and text of the batch
+                total = np.bincount(pair, np.repeat(part, many), len(ids) * len(size))
+                low = best.floor(len(ids))
+                pair = np.flatnonzero(total >= np.repeat(np.maximum(low - 10.0**-digits, 1e-300), len(size)))
+                total = np.round(total[pair], digits)
+            else:
+                pair, inverse = np.unique(pair, return_inverse=True)
+                total = np.round(np.bincount(inverse, np.repeat(part, many)), digits)
             keys = batch.column(0).to_numpy(zero_copy_only=False)[pair % len(size)]
             known = ~np.isnan(keys) if keys.dtype.kind == "f" else slice(None)
             best.add(pair[known] // len(size), keys[known].astype(np.int64), total[known])
