@@ -5,8 +5,9 @@ there; Thai ends one at a blank between Thai letters. A period is ambiguous: whe
 abbreviation, and whether the capitalised word behind it is a name or a common word, is decided from unambiguous
 occurrences elsewhere in the same document (followed by a small letter, seen without a period, seen in small letters,
 seen capitalised inside a sentence). Where the document has no evidence the corpus decides: one pass counts the same
-evidence over all documents, and words that are abbreviations there form a lexicon. Fixed lists hold titles and
-reference words of the languages.
+evidence over all documents, and words that are abbreviations there form a lexicon. The most frequent entries are sent
+to all tasks; the others are joined to the texts that may ask for them. Fixed lists hold titles and reference words of
+the languages.
 
 Defined results
 * Positions count code points; a unit ends at its last character that is not blank. Null and blank texts give no rows.
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine import scratch
+
 # Abbreviations that a name, noun or number follows, so that they do not end a sentence.
 NEVER = set(
     """dr dra drs mr mrs ms mx prof profs st fr mme mlle mm mgr hr hrn sr sra srta ing dipl
@@ -64,6 +67,10 @@ LABEL = re.compile(r"(?:[•●▪◦‣*–—-]\s+|\(?[0-9]{1,2}[.)]\s|[0-9]{1
 EVIDENCE = re.compile(r"(?<![\w.])([^\W\d_]+(?:\.[^\W\d_]+)*)\.(?=\s+([^\W_])|[,;:])")
 SHORT = re.compile(r"(?<![\w.])[^\W\d_]{1,6}(?![\w.])")
 LABELLED = re.compile(r"[^\W_]{1,2}\b|[IVXLC]+\b|[^\W\d_]{1,2}\d|\W")
+# places where a unit may begin inside a line: behind a terminator, what may close a sentence, or a blank between Thai letters
+BEGINS = re.compile(rf"(?:[.!?…{re.escape(''.join(sorted(HARD)) + CLOSERS)}⁰¹²³⁴-⁹]|(?<=[฀-๿])(?=\s+[฀-๿]))[\s\u200b\ufeff]*")
+LONGEST = 8  # letters of an abbreviation in the lexicon
+WORDS = 4  # words of a heading in the lexicon
 GUILLEMET = re.compile("[   ]»")
 
 
@@ -84,9 +91,11 @@ def evidence(text: str, digits: bool = False) -> tuple[Counter, Counter]:
 class Splitter:
     def __init__(self, abbreviations: frozenset[str], headings: frozenset[str]):
         self.abbreviations, self.headings = abbreviations, headings
+        self.own: frozenset[str] = frozenset()
 
-    def ends(self, text: str) -> list[int]:
-        """End positions of the units of ``text``."""
+    def ends(self, text: str, own: frozenset[str] = frozenset()) -> list[int]:
+        """End positions of the units of ``text``; ``own`` holds those of its ``asked`` entries that are in the lexicon too."""
+        self.own = own
         out: list[int] = []
         start = self._skip(text, 0)
         n = len(text)
@@ -112,6 +121,29 @@ class Splitter:
             out.append(last)
         return out
 
+    def asked(self, text: str) -> set[str]:
+        """Every entry that ``ends`` may look up, wherever the units begin, and that the lexicon sent to all tasks lacks:
+        ``w`` and a word, or ``h`` and a heading."""
+        out: set[str] = set()
+        yes, no = evidence(text)
+        for m in re.finditer(r"(?<=\S)\.", text):
+            i = m.start()
+            for a in range(i - 1, max(i - LONGEST, 0) - 1, -1):
+                if self._bounds_word(text[a]):
+                    break
+                if a == 0 or not text[a - 1].isalpha():  # words and units begin behind something that is no letter
+                    low = text[a:i].lower()
+                    if len(low) <= LONGEST and low not in self.abbreviations and not (yes[low] or no[low]) and not re.search(r"\d", low):
+                        out.add("w" + low)
+        for whole in text.split("\n")[:-1]:
+            line = whole.rstrip()
+            for a in {self._skip(line, 0), *(m.end() for m in BEGINS.finditer(line))}:
+                if 0 < len(line) - a <= 80:
+                    bare = self._parts(line[a:])[2]
+                    if 0 < len(bare.split()) <= WORDS and bare not in self.headings:
+                        out.add("h" + bare)
+        return out
+
     @staticmethod
     def _skip(text: str, i: int) -> int:
         n = len(text)
@@ -119,6 +151,13 @@ class Splitter:
             i += 1
         return i
 
+    @staticmethod
+    def _parts(line: str) -> tuple[re.Match | None, str, str]:
+        """Label of a line, what follows it, and that as a heading is looked up."""
+        label = LABEL.match(line)
+        core = line[label.end() :] if label else line
+        return label, core, core.rstrip("  :：.").lower()
+
     def _line_unit(self, text: str, start: int, i: int) -> int:
         """End of a heading or label that fills its line, else 0."""
         line = text[start:i].rstrip()
@@ -131,9 +170,7 @@ class Splitter:
         if nxt.islower() or nxt in ",;:)]}»”.!?":
             return 0
         end = start + len(line)
-        label = LABEL.match(line)
-        core = line[label.end() :] if label else line
-        bare = core.rstrip("  :：.").lower()
+        label, core, bare = self._parts(line)
         words = bare.split()
         if not words:
             return end if label else 0
@@ -143,7 +180,7 @@ class Splitter:
             return end
         if core[-1] in ":：" and len(words) <= 4:
             return end
-        if bare in self.headings or all(w in HEADINGS or w in ("and", "und", "et", "y", "и", "&") for w in words):
+        if bare in self.headings or "h" + bare in self.own or all(w in HEADINGS or w in ("and", "und", "et", "y", "и", "&") for w in words):
             return end
         if len(words) <= 4 and len(core) > 4 and core.isupper() and not any(ch.isdigit() for ch in core):
             return end
@@ -256,10 +293,14 @@ class Splitter:
             k += 1
         return k < n and (text[k].isupper() or self._caseless(text[k]) or text[k].isdigit())
 
+    @staticmethod
+    def _bounds_word(c: str) -> bool:
+        return c.isspace() or c in "([{“„«\"¿¡,:;<>=’'–"
+
     @staticmethod
     def _word_before(text: str, start: int, i: int) -> str:
         a = i
-        while a > start and not text[a - 1].isspace() and text[a - 1] not in "([{“„«\"¿¡,:;<>=’'–":
+        while a > start and not Splitter._bounds_word(text[a - 1]):
             a -= 1
         return text[a:i]
 
@@ -279,7 +320,7 @@ class Splitter:
         yes, no = memo["own"]
         if yes[low] or no[low]:
             return yes[low] > no[low]
-        return low in self.abbreviations
+        return low in self.abbreviations or "w" + low in self.own
 
     def _ordinary(self, word: str, text: str, memo: dict) -> bool:
         """Whether the document uses a listed word inside its sentences as a common one: without a period, before a small
@@ -306,8 +347,18 @@ class Splitter:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: evidence per word, and lines that stand alone before a capital."""
+    """Per task: evidence per word, and lines that stand alone before a capital. The counts may come out in parts."""
     yes, no, lines = Counter(), Counter(), Counter()
+
+    def counts() -> pa.RecordBatch:
+        words = list(yes | no)
+        heads = list({k for k, _ in lines})
+        return pa.RecordBatch.from_arrays([
+            pa.array(["w"] * len(words) + ["h"] * len(heads)), pa.array(words + heads, pa.string()),
+            pa.array([yes[w] for w in words] + [lines[(h, True)] for h in heads], pa.int64()),
+            pa.array([no[w] for w in words] + [lines[(h, False)] for h in heads], pa.int64()),
+        ], ["what", "word", "yes", "no"])
+
     for b in batches:
         for t in b.column(0).to_pylist():
             a, c = evidence(t, digits=True)
@@ -315,27 +366,50 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             no.update(c)
             if "\n" in t:
                 for line, after in re.findall(r"(?:^|\n)[ \t]*([^\n]{2,40}?)[ \t]*\n\s*([^\W\d_])", t):
-                    if line[-1] not in ".!?,;。！？।؟" and len(line.split()) <= 4:
+                    if line[-1] not in ".!?,;。！？।؟" and len(line.split()) <= WORDS:
                         lines[(line.rstrip("  :：").lower(), not after.islower())] += 1
-    words = list(yes)
-    heads = list({k for k, _ in lines})
-    yield pa.RecordBatch.from_arrays([
-        pa.array(["w"] * len(words) + ["h"] * len(heads)), pa.array(words + heads, pa.string()),
-        pa.array([yes[w] for w in words] + [lines[(h, True)] for h in heads], pa.int64()),
-        pa.array([no[w] for w in words] + [lines[(h, False)] for h in heads], pa.int64()),
-    ], ["what", "word", "yes", "no"])
+            if len(yes) + len(no) + len(lines) > 500_000:
+                yield counts()
+                for done in (yes, no, lines):
+                    done.clear()
+    yield counts()
 
 
-def corpus_lexicon(texts: DataFrame, least: int = 5, most: int = 50_000) -> tuple[frozenset[str], frozenset[str]]:
-    """Abbreviations and headings of the whole corpus, from a column ``text``.
+def corpus_lexicon(texts: DataFrame, least: int = 5, most: int = 50_000) -> tuple[tuple[frozenset[str], frozenset[str]], DataFrame | None]:
+    """Abbreviations and headings of the whole corpus, from a column ``text``: those to send to all tasks, and all others.
 
-    Counts are combined per task before the shuffle. The result is bounded: words of at most 8 letters or headings of
-    at most 4 words, with at least ``least`` cases, the ``most`` frequent ones.
+    Counts are combined per task before the shuffle. Words of at most ``LONGEST`` letters and headings of at most ``WORDS``
+    words enter with at least ``least`` cases. The ``most`` frequent ones come as two sets; if there are more, the rest
+    comes as a table ``(entry)`` with entries as in ``Splitter.asked``.
     """
     counted = texts.mapInArrow(_count, "what string, word string, yes bigint, no bigint").groupBy("what", "word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    kept = counted.where((F.col("yes") >= least) & (F.col("yes") > 3 * F.col("no")) & ((F.col("what") == "h") | (F.length("word") <= 8)))
-    rows = kept.orderBy(F.desc("yes"), "word").limit(most).collect()
-    return frozenset(r["word"] for r in rows if r["what"] == "w"), frozenset(r["word"] for r in rows if r["what"] == "h")
+    kept = counted.where((F.col("yes") >= least) & (F.col("yes") > 3 * F.col("no")) & ((F.col("what") == "h") | (F.length("word") <= LONGEST)))
+    table, n = scratch.counted(kept.select("what", "word", "yes"), "lexicon")
+    rows = table.orderBy(F.desc("yes"), "word", "what").limit(most).collect()
+    sent = frozenset(r["word"] for r in rows if r["what"] == "w"), frozenset(r["word"] for r in rows if r["what"] == "h")
+    if n <= most:
+        scratch.discard(table)
+        return sent, None
+    entry = F.concat("what", "word").alias("entry")
+    if not rows:
+        return sent, table.select(entry)
+    last = rows[-1]
+    yes, word, what = (F.lit(last[c]) for c in ("yes", "word", "what"))
+    later = (F.col("word") > word) | (F.col("word") == word) & (F.col("what") > what)
+    return sent, table.where((F.col("yes") < yes) | (F.col("yes") == yes) & later).select(entry)
+
+
+def _asked(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(*sent.value)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2000):
+                b = whole.slice(s, 2000)
+                distinct = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+                found = [(k, e) for k, t in distinct.items() for e in splitter.asked(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([e for _, e in found], pa.string())], ["key", "entry"])
+
+    return run
 
 
 def _split(sent):
@@ -344,7 +418,9 @@ def _split(sent):
         for whole in batches:
             for s in range(0, whole.num_rows, 2000):
                 b = whole.slice(s, 2000)
-                found = [splitter.ends(t) for t in b.column(2).to_pylist()]
+                texts = b.column(2).to_pylist()
+                own = b.column(3).to_pylist() if b.num_columns > 3 else [None] * len(texts)
+                found = [splitter.ends(t, frozenset(o or ())) for t, o in zip(texts, own, strict=True)]
                 at = [i for i, f in enumerate(found) for _ in f]
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -354,8 +430,12 @@ def _split(sent):
     return run
 
 
-def sentence_ends(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """``(kind, id, end_pos)`` for ``(kind, frame, id column, text column)`` entries."""
+def sentence_ends(tables: list[tuple[str, DataFrame, str, str]], most: int = 50_000) -> DataFrame:
+    """``(kind, id, end_pos)`` for ``(kind, frame, id column, text column)`` entries.
+
+    A lexicon of up to ``most`` entries is sent to all tasks. Of a larger one the ``most`` frequent are sent, and each text gets
+    those of the others that it may ask for by a join; the result is the same.
+    """
     parts = [
         df.select(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and trim(text) <> ''")
         for kind, df, key, text in tables
@@ -363,6 +443,11 @@ def sentence_ends(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     texts = parts[0]
     for more in parts[1:]:
         texts = texts.unionByName(more)
-    lexicon = corpus_lexicon(texts.select("text"))
-    sent = texts.sparkSession.sparkContext.broadcast(lexicon)  # at most 50 000 words
+    lexicon, rest = corpus_lexicon(texts.select("text"), most=most)
+    sent = texts.sparkSession.sparkContext.broadcast(lexicon)  # at most ``most`` words
+    if rest is not None:
+        texts = texts.withColumn("key", F.unhex(F.sha2("text", 256)))
+        asked = texts.select("key", "text").mapInArrow(_asked(sent), "key binary, entry string")
+        own = asked.join(rest, "entry").groupBy("key").agg(F.collect_set("entry").alias("own"))
+        texts = texts.join(own, "key", "left").select("kind", "id", "text", "own")
     return texts.mapInArrow(_split(sent), "kind string, id bigint, end_pos int")
